@@ -54,8 +54,8 @@ def ngram_buckets(text: str, buckets: int) -> np.ndarray:
     return (np.concatenate([_mix(h), two]) % np.uint64(buckets)).astype(np.int64)
 
 
-def count_models(docs: DataFrame, is_target: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts of the target rows (where the column is_target is true) and of all rows."""
+def count_models(docs: DataFrame, labels: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket counts of the target documents (quality 1 in labels) and of all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros(2 * buckets, dtype=np.int64)
@@ -68,7 +68,9 @@ def count_models(docs: DataFrame, is_target: str, buckets: int) -> tuple[np.ndar
         full = np.flatnonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(both[full])], names=["bucket", "n"])
 
-    d = docs.select(docs["text"].cast("string").alias("text"), F.coalesce(docs[is_target].cast("boolean"), F.lit(False)).alias("target"))
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    d = d.join(good, F.col("doc_id") == F.col("id"), "left").select("text", F.col("id").isNotNull().alias("target"))
     rows = d.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     both = np.zeros(2 * buckets, dtype=np.int64)  # 2 x buckets rows at most, whatever the corpus
     for row in rows:
@@ -134,13 +136,13 @@ def gumbel_key(log_weight, doc_id, setting: Resampling):
     return F.round((log_weight / setting.temperature + noise) * (1 << 30)).cast("long")
 
 
-def resample(docs: DataFrame, is_target: str, share: float, setting: Resampling = Resampling()) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float, setting: Resampling = Resampling()) -> DataFrame:
     """doc_id, log_weight, n_ngrams, key and kept: round(share x rows) documents drawn by Gumbel top-k."""
     from quillon.llm.common import staged
 
     if not 0 <= share <= 1:
         raise ValueError("share must lie between 0 and 1")
-    target, raw = count_models(docs, is_target, setting.buckets)
+    target, raw = count_models(docs, labels, setting.buckets)
     ratio = log_ratio(target, raw, setting.prior)
     rows = scored(docs, ratio, setting).withColumn("key", gumbel_key(F.col("log_weight"), F.col("doc_id"), setting))
     rows = staged(rows, "importance")  # few bytes a document; counted several times
