@@ -131,6 +131,7 @@ def draw(docs: DataFrame, mix: Mixture = Mixture()) -> tuple[DataFrame, DataFram
     grid = grid.select("s", "blocks", "shard", count.alias("n"))
     run = F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     grid = grid.withColumn("first", F.coalesce(run, F.lit(0))).where("n > 0")
+    grid = grid.repartition("s", "shard")  # a source's slots are made by as many tasks as it has shards
     j = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j")
     drawn = grid.select("s", "blocks", "shard", "first", j)
     # what rounding gives beyond the last pass is dropped: at most one slot a shard
@@ -155,13 +156,13 @@ def taken(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
     placed, slots = draw(docs, mix)
     uses = slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses"))
     per_doc = (
-        _block_parts(placed, mix).join(uses, ["s", "block"])
+        _block_parts(placed, mix).hint("merge").join(uses.hint("merge"), ["s", "block"])  # both grow with the input
         .groupBy("s", "doc_id", "start").agg(F.sum((F.col("end") - F.col("begin")) * F.col("uses")).alias("taken"))
     )
     # size 0 documents share a start with the next one, and take nothing
     per_doc = per_doc.withColumnRenamed("s", "s2").withColumnRenamed("doc_id", "id2").withColumnRenamed("start", "start2")
     same = (placed["s"] == per_doc["s2"]) & placed["doc_id"].eqNullSafe(per_doc["id2"]) & (placed["start"] == per_doc["start2"]) & (placed["size"] > 0)
-    d = placed.join(per_doc, same, "left")
+    d = placed.hint("merge").join(per_doc.hint("merge"), same, "left")
     return d.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -172,7 +173,7 @@ def mixed(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
     n_chars, where docs has it, is the length of the new text.
     """
     placed, slots = draw(docs, mix)
-    picks = _block_parts(placed, mix).join(slots.select("s", "block", "pass"), ["s", "block"])
+    picks = _block_parts(placed, mix).hint("merge").join(slots.select("s", "block", "pass").hint("merge"), ["s", "block"])
     picks = picks.groupBy("s", "doc_id", "tie", "start", "size", "pass").agg(
         F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("parts"), F.sum(F.col("end") - F.col("begin")).alias("n")
     )
