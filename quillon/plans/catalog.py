@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from quillon.functions import scalars, user_defined
+from quillon.operators import aggregates, joins, reshaping, windows
 from quillon.plans.registry import Registry
 
-MODULES: tuple = ()
+MODULES = (joins, aggregates, windows, reshaping, scalars, user_defined)
 
 
 def _all() -> Registry:
