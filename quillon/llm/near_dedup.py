@@ -23,6 +23,7 @@ texts under five words are one shingle; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -130,37 +131,44 @@ def posterior_limits(setting: NearDup) -> list[tuple[int, int]]:
     return limits
 
 
-def sets(docs: DataFrame, setting: NearDup) -> DataFrame:
-    """doc_id, n_shingles, set (binary of little-endian 64-bit hashes; null if empty), key (digest of the set)."""
-    import hashlib
+def prints(docs: DataFrame, setting: NearDup) -> DataFrame:
+    """doc_id, n_shingles, and of non-empty sets a digest (key) and the signature, cut to 16 bits a value.
 
-    width = setting.width
+    Values cut short can only agree more often, so no link is lost by it.
+    """
+    width, n, seed = setting.width, setting.bands * setting.rows, setting.seed
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = _seeds(n, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                found = [shingles(x, width).astype("<u8").tobytes() for x in part.column(1).to_pylist()]
-                key = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in found]
+                found = [shingles(x, width) for x in part.column(1).to_pylist()]
+                key = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in found]
+                signed = [signature(x, seeds).astype("<u2").tobytes() if len(x) else None for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 8 for x in found], pa.int64()), pa.array([x or None for x in found], pa.binary()), pa.array(key, pa.binary())],
-                    names=["doc_id", "n_shingles", "set", "key"],
+                    [part.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(key, pa.binary()), pa.array(signed, pa.binary())],
+                    names=["doc_id", "n_shingles", "key", "signature"],
                 )
 
-    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return d.mapInArrow(make, "doc_id long, n_shingles long, set binary, key binary")
+    return _texts(docs).mapInArrow(make, "doc_id long, n_shingles long, key binary, signature binary")
+
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
-def _signed(s: Column, setting: NearDup) -> Column:
-    """The signature of a set, as binary."""
-    n, seed = setting.bands * setting.rows, setting.seed
+
+def _sets(ids: DataFrame, docs: DataFrame, setting: NearDup) -> DataFrame:
+    """(id, set) of the documents in ids; repeated rows of an id give the set of most shingles."""
+    width = setting.width
 
     @arrow_udf("binary")
-    def sign(column: pa.Array) -> pa.Array:
-        seeds = _seeds(n, seed)
-        return pa.array([signature(np.frombuffer(x, dtype="<u8"), seeds).astype("<u4").tobytes() for x in column.to_pylist()], pa.binary())
+    def make(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(x, width).astype("<u8").tobytes() for x in texts.to_pylist()], pa.binary())
 
-    return sign(s)
+    found = _texts(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    sized = found.select(F.col("doc_id").alias("id"), make("text").alias("set"))
+    return sized.groupBy("id").agg(F.max_by("set", F.length("set")).alias("set"))
 
 
 def _survive(a: Column, b: Column, setting: NearDup) -> Column:
@@ -172,7 +180,7 @@ def _survive(a: Column, b: Column, setting: NearDup) -> Column:
         if not len(x):
             return pa.array([], pa.bool_())
         n = limits[-1][0]
-        same = np.frombuffer(b"".join(x.to_pylist()), dtype="<u4").reshape(-1, n) == np.frombuffer(b"".join(y.to_pylist()), dtype="<u4").reshape(-1, n)
+        same = np.frombuffer(b"".join(x.to_pylist()), dtype="<u2").reshape(-1, n) == np.frombuffer(b"".join(y.to_pylist()), dtype="<u2").reshape(-1, n)
         alive, at, agreed = np.arange(len(same)), 0, np.zeros(len(same), dtype=int)
         for upto, least in limits:  # only pairs still alive are compared on
             agreed[alive] += same[alive, at:upto].sum(1)
@@ -222,34 +230,35 @@ def components(links: DataFrame) -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, content: DataFrame, setting: NearDup) -> DataFrame:
-    """Those of pairs (a, b) that are links: signatures first, then sets."""
+def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, setting: NearDup) -> DataFrame:
+    """Those of pairs (a, b) that are links: signatures first, then sets, which only survivors' documents make."""
     s = lambda side: signed.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}"))
-    alive = pairs.join(s("a"), "a").join(s("b"), "b").where(_survive(F.col("sa"), F.col("sb"), setting)).select("a", "b")
+    alive = staged(pairs.join(s("a"), "a").join(s("b"), "b").where(_survive(F.col("sa"), F.col("sb"), setting)).select("a", "b"), "alive")
+    ids = alive.select(F.col("a").alias("id")).union(alive.select(F.col("b").alias("id"))).distinct()
+    content = staged(_sets(ids, docs, setting), "sets")
     c = lambda side: content.select(F.col("id").alias(side), F.col("set").alias(f"c{side}"))
     return alive.join(c("a"), "a").join(c("b"), "b").where(_linked(F.col("ca"), F.col("cb"), setting)).select("a", "b")
 
 
 def groups(docs: DataFrame, setting: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per doc_id of docs."""
-    every = sets(docs, setting)
-    # equal sets: the class's smallest id. The set travels only from one row a class.
-    first = every.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.min_by("set", "doc_id").alias("set"))
-    # the set's digest tells classes apart, so a class's set is any member's
-    reps = staged(first.withColumn("signature", _signed(F.col("set"), setting)), "classes")
-    member = every.select("doc_id", "n_shingles", "key").groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "key"), F.struct("n_shingles", "key")).alias("x"))
-    member = staged(member.select("doc_id", "x.n_shingles", "x.key"), "members")
-
-    width = 4 * setting.rows
+    every = prints(docs, setting).groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "key", "signature"), F.struct("n_shingles", "key")).alias("x"))
+    every = staged(every.select("doc_id", "x.*"), "prints")
+    # equal sets: the class's smallest id; they have equal signatures
+    reps = every.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
+    reps = staged(reps, "classes")
+    member = every.select("doc_id", "n_shingles", "key")
+
+    width = 2 * setting.rows
     band = F.explode(F.sequence(F.lit(0), F.lit(setting.bands - 1))).alias("band")
     bucket = F.xxhash64("band", F.substring("signature", F.col("band") * width + 1, F.lit(width)))
     banded = reps.select("id", "signature", band).select("id", bucket.alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = staged(banded.join(shared.select("bucket", "hub"), "bucket"), "buckets")  # only buckets of several classes
-    signed, content = reps.select("id", "signature"), reps.select("id", "set")
+    signed = reps.select("id", "signature")
 
     tested = staged(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = staged(_verified(tested, signed, content, setting), "links")
+    links = staged(_verified(tested, signed, docs, setting), "links")
     label = components(links)
     # what buckets still hold apart: classes of different components that were not compared yet
     placed = buckets.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
@@ -258,7 +267,7 @@ def groups(docs: DataFrame, setting: NearDup = NearDup()) -> DataFrame:
     x = apart.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"))
     y = apart.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"))
     open_pairs = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    new = staged(_verified(open_pairs, signed, content, setting), "links")
+    new = staged(_verified(staged(open_pairs, "pairs"), signed, docs, setting), "links")
     label = components(links.unionAll(new))
     d = member.join(reps.select("key", "id"), "key", "left").join(label, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
