@@ -358,13 +358,15 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(32, min(1_000_000, size // BUCKET_BYTES))
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    whole = d.where("doc_id is not null and octet_length(text) >= 100")
+    # a key that is never null keeps both joins' shuffles of the texts alike, so that one is made and reused
+    d = d.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    whole = d.select("doc_id", "text").where("doc_id is not null and octet_length(text) >= 100")
     signatures = whole.mapInArrow(_signatures(buckets), "bucket long, data binary")
     alive = signatures.groupBy("bucket").applyInArrow(_surviving, "doc long, data binary")
     alive = alive.groupBy("doc").agg(F.collect_list("data").alias("data"))
-    cut = d.join(alive, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "data")
+    cut = d.join(alive.withColumn("doc", F.coalesce("doc", F.lit(-1))), F.col("key") == F.col("doc")).select("doc_id", "text", "data")
     runs = cut.mapInArrow(_sorted_runs(buckets), "bucket long, doc long, data binary")
     marks = runs.groupBy("bucket").applyInArrow(_merged, "doc long, data binary")
     marks = marks.groupBy("doc").agg(F.collect_list("data").alias("data"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary" if with_text else "")
-    return d.join(marks, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "data").mapInArrow(_cut(with_text), out)
+    return d.join(marks, F.col("key") == F.col("doc"), "left").select("doc_id", "text", "data").mapInArrow(_cut(with_text), out)
