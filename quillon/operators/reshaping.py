@@ -11,7 +11,7 @@ from quillon.session import table
 registry = Registry()
 
 registry.spark_sql("project_derived", "lineitem", "SELECT l_orderkey AS order_id, l_linenumber AS line, round(l_extendedprice * (1 - l_discount), 4) AS net FROM {lineitem} WHERE l_tax > 0.03")
-registry.spark_sql("filter_like", "part", "SELECT p_partkey, p_name FROM {part} WHERE p_name LIKE '%1%' AND p_brand ILIKE '%B%' AND p_size BETWEEN 5 AND 20")
+registry.spark_sql("filter_like", "part", "SELECT p_partkey, p_name FROM {part} WHERE p_name LIKE '%ing%' AND p_brand ILIKE '%B%' AND p_size BETWEEN 5 AND 20")
 registry.spark_sql("case_coalesce_nullif", "orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'P'), '?') AS st FROM {orders}")
 registry.spark_sql("try_cast_in", "part", "SELECT p_partkey, try_cast(p_brand AS INT) AS b, p_size IN (1, 2, NULL) AS hit FROM {part}")
 registry.spark_sql(
