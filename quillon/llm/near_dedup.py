@@ -8,7 +8,9 @@
    once the posterior probability that it is a link falls below the chosen miss probability.
    Survivors are verified on their full sets.
 4. Links give components. In buckets that still hold several, pairs of classes of different components
-   are candidates too, pruned and verified alike; links among them join components.
+   are candidates too, pruned and verified alike; links among them join components. Before these pairs
+   are made, classes that can't be linked there leave: a class shares at most the shingles that some
+   other class of those buckets also holds, so a text edited in many places has no partner.
 
 So pairs within one component are never emitted, a group of copies costs a pair a member and band,
 and no link among candidates is lost. Two texts at similarity 0.85 share no band with a probability of
@@ -240,19 +242,66 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, setting: Nea
     return alive.join(c("a"), "a").join(c("b"), "b").where(_linked(F.col("ca"), F.col("cb"), setting)).select("a", "b")
 
 
+def _own_shingles(ids: DataFrame, docs: DataFrame, setting: NearDup) -> DataFrame:
+    """(id, own): how many shingles of a class no other class of ids holds; classes with none are left out."""
+
+    @arrow_udf("array<long>")
+    def unpack(sets: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x.as_buffer(), dtype="<i8") for x in sets], pa.list_(pa.int64()))
+
+    held_by = _sets(ids, docs, setting).select("id", F.explode(unpack("set")).alias("h"))
+    # partial minima and maxima: a shingle that every class holds is a row a task
+    single = held_by.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    return single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _open_pairs(buckets: DataFrame, label: DataFrame, classes: DataFrame, docs: DataFrame, setting: NearDup) -> DataFrame:
+    """Pairs (a, b) of classes of different components in one bucket that may be linked, each pair once.
+
+    A link of sizes n and m needs percent / (100 + percent) x (n + m) shared shingles, and sizes whose ratio is
+    percent at least; both are tested on bounds that hold for every pair, so none that is linked is left out.
+    """
+    placed = buckets.join(label, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("c"))
+
+    def several(rows: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold several components, with the smallest size there if sizes are known."""
+        least = [F.min("n").alias("least")] if "n" in rows.columns else []
+        found = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), *least).where("low <> high")
+        return rows.join(found.drop("low", "high"), "bucket")
+
+    apart = staged(several(placed), "apart")
+    own = _own_shingles(apart.select("id").distinct(), docs, setting)
+    shared = (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")
+    facts = classes.join(own, "id", "left").select("id", "n", shared, "signature")
+    percent = F.lit(setting.percent)
+    smallest = F.greatest(F.col("least") * 100, F.col("n") * percent)  # a partner's size, times 100
+    able = several(apart.join(facts, "id")).where(100 * (100 + percent) * F.col("shared") >= percent * (100 * F.col("n") + smallest))
+    able = staged(able.drop("least"), "able")
+
+    side = lambda s: able.select("bucket", "band", *[F.col(x).alias(f"{x}_{s}") for x in ("id", "c", "n", "shared", "signature")])
+    x, y = side("a"), side("b").drop("band")
+    n, m = F.col("n_a"), F.col("n_b")
+    fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least("shared_a", "shared_b") >= percent * (n + m))
+    width = 2 * setting.rows
+    for k in range(setting.bands - 1):  # a pair of several buckets is made in the first
+        differ = F.substring("signature_a", k * width + 1, width) != F.substring("signature_b", k * width + 1, width)
+        fits = fits & ((F.col("band") <= k) | differ)
+    return x.join(y, "bucket").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def groups(docs: DataFrame, setting: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per doc_id of docs."""
     every = prints(docs, setting).groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "key", "signature"), F.struct("n_shingles", "key")).alias("x"))
     every = staged(every.select("doc_id", "x.*"), "prints")
     # equal sets: the class's smallest id; they have equal signatures
-    reps = every.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
+    reps = every.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     reps = staged(reps, "classes")
     member = every.select("doc_id", "n_shingles", "key")
 
     width = 2 * setting.rows
     band = F.explode(F.sequence(F.lit(0), F.lit(setting.bands - 1))).alias("band")
     bucket = F.xxhash64("band", F.substring("signature", F.col("band") * width + 1, F.lit(width)))
-    banded = reps.select("id", "signature", band).select("id", bucket.alias("bucket"))
+    banded = reps.select("id", "signature", band).select("id", "band", bucket.alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = staged(banded.join(shared.select("bucket", "hub"), "bucket"), "buckets")  # only buckets of several classes
     signed = reps.select("id", "signature")
@@ -261,12 +310,7 @@ def groups(docs: DataFrame, setting: NearDup = NearDup()) -> DataFrame:
     links = staged(_verified(tested, signed, docs, setting), "links")
     label = components(links)
     # what buckets still hold apart: classes of different components that were not compared yet
-    placed = buckets.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    several = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    apart = placed.join(several.select("bucket"), "bucket", "left_semi")
-    x = apart.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"))
-    y = apart.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"))
-    open_pairs = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    open_pairs = _open_pairs(buckets, label, reps.select("id", "n", "signature"), docs, setting).join(tested, ["a", "b"], "left_anti")
     new = staged(_verified(staged(open_pairs, "pairs"), signed, docs, setting), "links")
     label = components(links.unionAll(new))
     d = member.join(reps.select("key", "id"), "key", "left").join(label, "id", "left")
