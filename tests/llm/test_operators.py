@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -181,6 +182,28 @@ def test_near_dedup(docs, texts):
     assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
 
 
+def test_near_dedup_of_edited_copies(spark):
+    """One text with each copy edited in another number of places: some link through others, some with none."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(160)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 60):
+        w = list(base)
+        for at in rng.sample(range(160), rng.randrange(1, 7)):
+            w[at] = f"x{i}y{at}"
+        texts[i] = " ".join(w)
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(156)} for i, t in texts.items()}
+    component = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and 100 * len(shingles[a] & shingles[b]) >= 85 * len(shingles[a] | shingles[b]):
+                low, high = sorted((component[a], component[b]))
+                component = {k: low if v == high else v for k, v in component.items()}
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == component
+    assert 1 < len(set(component.values())) < 60
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
