@@ -49,6 +49,8 @@ class NearDup:
     #: Signature values compared at a time, and the probability at which a pair is given up.
     batch: int = 32
     miss: float = 1e-9
+    #: How often the bound on shared shingles is drawn tighter before classes of different components are paired.
+    rounds: int = 2
     seed: int = 41
 
 
@@ -161,14 +163,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sets(ids: DataFrame, docs: DataFrame, setting: NearDup) -> DataFrame:
-    """(id, set) of the documents in ids; repeated rows of an id give the set of most shingles."""
+    """(id, set) of the documents in ids; repeated rows of an id give the set of most shingles.
+
+    Both sides grow with the corpus, so they are merged by id at every size.
+    """
     width = setting.width
 
     @arrow_udf("binary")
     def make(texts: pa.Array) -> pa.Array:
         return pa.array([shingles(x, width).astype("<u8").tobytes() for x in texts.to_pylist()], pa.binary())
 
-    found = _texts(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    found = _texts(docs).hint("merge").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     sized = found.select(F.col("doc_id").alias("id"), make("text").alias("set"))
     return sized.groupBy("id").agg(F.max_by("set", F.length("set")).alias("set"))
 
@@ -232,30 +237,28 @@ def components(links: DataFrame) -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, setting: NearDup) -> DataFrame:
-    """Those of pairs (a, b) that are links: signatures first, then sets, which only survivors' documents make."""
+def _verified(pairs: DataFrame, signed: DataFrame, content: DataFrame, setting: NearDup) -> DataFrame:
+    """Those of pairs (a, b) that are links: signatures first, then survivors by their sets in content."""
     s = lambda side: signed.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}"))
     alive = staged(pairs.join(s("a"), "a").join(s("b"), "b").where(_survive(F.col("sa"), F.col("sb"), setting)).select("a", "b"), "alive")
-    ids = alive.select(F.col("a").alias("id")).union(alive.select(F.col("b").alias("id"))).distinct()
-    content = staged(_sets(ids, docs, setting), "sets")
     c = lambda side: content.select(F.col("id").alias(side), F.col("set").alias(f"c{side}"))
     return alive.join(c("a"), "a").join(c("b"), "b").where(_linked(F.col("ca"), F.col("cb"), setting)).select("a", "b")
 
 
-def _own_shingles(ids: DataFrame, docs: DataFrame, setting: NearDup) -> DataFrame:
+def _own_shingles(ids: DataFrame, content: DataFrame) -> DataFrame:
     """(id, own): how many shingles of a class no other class of ids holds; classes with none are left out."""
 
     @arrow_udf("array<long>")
     def unpack(sets: pa.Array) -> pa.Array:
         return pa.array([np.frombuffer(x.as_buffer(), dtype="<i8") for x in sets], pa.list_(pa.int64()))
 
-    held_by = _sets(ids, docs, setting).select("id", F.explode(unpack("set")).alias("h"))
+    held_by = content.join(ids, "id", "left_semi").select("id", F.explode(unpack("set")).alias("h"))
     # partial minima and maxima: a shingle that every class holds is a row a task
     single = held_by.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
     return single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
 
-def _open_pairs(buckets: DataFrame, label: DataFrame, classes: DataFrame, docs: DataFrame, setting: NearDup) -> DataFrame:
+def _open_pairs(buckets: DataFrame, label: DataFrame, classes: DataFrame, content: DataFrame, setting: NearDup) -> DataFrame:
     """Pairs (a, b) of classes of different components in one bucket that may be linked, each pair once.
 
     A link of sizes n and m needs percent / (100 + percent) x (n + m) shared shingles, and sizes whose ratio is
@@ -269,14 +272,17 @@ def _open_pairs(buckets: DataFrame, label: DataFrame, classes: DataFrame, docs:
         found = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), *least).where("low <> high")
         return rows.join(found.drop("low", "high"), "bucket")
 
-    apart = staged(several(placed), "apart")
-    own = _own_shingles(apart.select("id").distinct(), docs, setting)
-    shared = (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")
-    facts = classes.join(own, "id", "left").select("id", "n", shared, "signature")
-    percent = F.lit(setting.percent)
-    smallest = F.greatest(F.col("least") * 100, F.col("n") * percent)  # a partner's size, times 100
-    able = several(apart.join(facts, "id")).where(100 * (100 + percent) * F.col("shared") >= percent * (100 * F.col("n") + smallest))
-    able = staged(able.drop("least"), "able")
+    able = staged(several(placed), "apart")
+    for _ in range(setting.rounds):  # shingles that only classes found unable hold count no more
+        own = _own_shingles(able.select("id").distinct(), content)
+        shared = (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")
+        facts = classes.join(own, "id", "left").select("id", "n", shared, "signature")
+        percent = F.lit(setting.percent)
+        smallest = F.greatest(F.col("least") * 100, F.col("n") * percent)  # a partner's size, times 100
+        fit = several(able.select("bucket", "band", "id", "c").join(facts, "id")).where(
+            100 * (100 + percent) * F.col("shared") >= percent * (100 * F.col("n") + smallest)
+        )
+        able = staged(several(fit.drop("least")).drop("least"), "able")
 
     side = lambda s: able.select("bucket", "band", *[F.col(x).alias(f"{x}_{s}") for x in ("id", "c", "n", "shared", "signature")])
     x, y = side("a"), side("b").drop("band")
@@ -305,13 +311,14 @@ def groups(docs: DataFrame, setting: NearDup = NearDup()) -> DataFrame:
     shared = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = staged(banded.join(shared.select("bucket", "hub"), "bucket"), "buckets")  # only buckets of several classes
     signed = reps.select("id", "signature")
+    content = staged(_sets(buckets.select("id").distinct(), docs, setting), "sets")  # texts are shuffled this once
 
     tested = staged(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = staged(_verified(tested, signed, docs, setting), "links")
+    links = staged(_verified(tested, signed, content, setting), "links")
     label = components(links)
     # what buckets still hold apart: classes of different components that were not compared yet
-    open_pairs = _open_pairs(buckets, label, reps.select("id", "n", "signature"), docs, setting).join(tested, ["a", "b"], "left_anti")
-    new = staged(_verified(staged(open_pairs, "pairs"), signed, docs, setting), "links")
+    open_pairs = _open_pairs(buckets, label, reps.select("id", "n", "signature"), content, setting).join(tested, ["a", "b"], "left_anti")
+    new = staged(_verified(staged(open_pairs, "pairs"), signed, content, setting), "links")
     label = components(links.unionAll(new))
     d = member.join(reps.select("key", "id"), "key", "left").join(label, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
