@@ -70,7 +70,8 @@ def count_models(docs: DataFrame, labels: DataFrame, buckets: int) -> tuple[np.n
 
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    d = d.join(good, F.col("doc_id") == F.col("id"), "left").select("text", F.col("id").isNotNull().alias("target"))
+    # both sides grow with the input: merged at every size
+    d = d.hint("merge").join(good, F.col("doc_id") == F.col("id"), "left").select("text", F.col("id").isNotNull().alias("target"))
     rows = d.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     both = np.zeros(2 * buckets, dtype=np.int64)  # 2 x buckets rows at most, whatever the corpus
     for row in rows:
