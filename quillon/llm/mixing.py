@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import plain_spaces, temporary, text_of, words
+from quillon.llm.common import temporary, text_of, words
 
 
 @dataclass(frozen=True)
@@ -178,19 +178,24 @@ def mixed(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("parts"), F.sum(F.col("end") - F.col("begin")).alias("n")
     )
     # rows of equal id and text are one another's copies: their picks are dealt out among them by rank
-    a, b, rank = (temporary(docs, x) for x in ("id", "tie", "rank"))
+    tie, place = temporary(docs, "tie"), temporary(docs, "place")
+    p_id, p_tie, p_place, value, null, parts, n, size = (temporary(docs, f"picked_{x}") for x in ("id", "tie", "place", "value", "null", "parts", "n", "size"))
     twin = F.row_number().over(Window.partitionBy("s", "doc_id", "tie", "pass").orderBy("start"))
-    picks = picks.select(F.col("doc_id").alias(a), F.col("tie").alias(b), twin.alias(rank), F.col("pass").alias("__pass"), "parts", "n", "size", F.col("s")["v"].alias("__v"), F.col("s")["n"].alias("__n"))
-    base = docs.withColumn(b, F.xxhash64(docs["text"].cast("string")))
-    base = base.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", b, "source").orderBy("doc_id"))).withColumnRenamed(b, f"{b}d").withColumnRenamed(rank, f"{rank}d")
+    picks = picks.select(
+        F.col("doc_id").alias(p_id), F.col("tie").alias(p_tie), twin.alias(p_place), F.col("s")["v"].alias(value), F.col("s")["n"].alias(null),
+        F.col("parts").alias(parts), F.col("n").alias(n), F.col("size").alias(size),
+    )
+    base = docs.withColumn(tie, F.xxhash64(docs["text"].cast("string")))
+    base = base.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", tie, "source").orderBy("doc_id")))
     same = (
-        base["doc_id"].eqNullSafe(picks[a]) & (base[f"{b}d"] == picks[b]) & (base[f"{rank}d"] == picks[rank])
-        & (F.coalesce(base["source"].cast("string"), F.lit("")) == picks["__v"]) & (base["source"].isNull() == picks["__n"])
+        base["doc_id"].eqNullSafe(F.col(p_id)) & (F.col(tie) == F.col(p_tie)) & (F.col(place) == F.col(p_place))
+        & (F.coalesce(base["source"].cast("string"), F.lit("")) == F.col(value)) & (base["source"].isNull() == F.col(null))
     )
+    # a cut text is split once, before its parts are sliced: within their lambda it would be split for each of them
+    found = temporary(docs, "words")
     d = base.join(picks, same)
-    cut = F.array_join(
-        F.flatten(F.transform(F.col("parts"), lambda p: F.slice(F.split(F.trim(F.regexp_replace(plain_spaces(base["text"], "\n"), " +", " ")), " "), (p["begin"] + 1).cast("int"), (p["end"] - p["begin"]).cast("int")))), " "
-    )
-    text = F.when(F.col("n") == F.col("size"), base["text"]).otherwise(cut)
+    d = d.withColumn(found, F.explode_outer(F.array(F.when(F.col(n) < F.col(size), words(text_of(base))))))
+    cut = F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(found, (p["begin"] + 1).cast("int"), (p["end"] - p["begin"]).cast("int")))), " ")
+    text = F.when(F.col(n) < F.col(size), cut).otherwise(base["text"])
     out = [F.length(text).cast("long").alias(c) if c == "n_chars" else text.alias(c) if c == "text" else base[c] for c in docs.columns]
     return d.select(*out)
