@@ -258,6 +258,13 @@ def test_mixed_rows_hold_what_is_taken(docs):
     assert {i: n for i, n in taken.items() if n} == dict(rows)
 
 
+def test_mixed_lets_columns_have_any_name(docs):
+    clashing = docs.select("*", *[F.lit(7).alias(c) for c in ("parts", "n", "size", "s", "pass", "start", "__tie")])
+    rows = lambda d: sorted(map(tuple, d.select(docs.columns).collect()), key=repr)
+    assert rows(mixing.mixed(clashing)) == rows(mixing.mixed(docs))
+    assert mixing.mixed(clashing).columns == clashing.columns
+
+
 def test_ogg(docs, texts):
     for r in ogg_media.describe(docs, with_media=True).collect():
         raw = texts[r.doc_id].encode()
