@@ -29,6 +29,8 @@ MAX_LENGTH = 2048
 # runs of white space, and without it the expression needs no backtracking.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 SPLIT_RUNS = SPLIT.removesuffix(r"|\s+") + r"|\s+(?!\S)|\s+"
+# Fixed value: the vocabulary's one added token, which stands for itself wherever a text spells it.
+ADDED = {"<|endoftext|>": 50256}
 _RUN = re.compile(r"\s\s")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -39,11 +41,14 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        form = lambda split: tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+        form = lambda split: tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=ranks, special_tokens=ADDED)
         self.plain, self.runs = form(SPLIT), form(SPLIT_RUNS)
 
     def encode(self, text: str) -> list[int]:
-        return (self.runs if _RUN.search(text) else self.plain).encode_ordinary(text)
+        form = self.runs if _RUN.search(text) else self.plain
+        if any(x in text for x in ADDED):
+            return form.encode(text, allowed_special="all")
+        return form.encode_ordinary(text)
 
 
 def encoder(path: str) -> Encoder:
