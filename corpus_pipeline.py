@@ -17,8 +17,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.keep_first(docs)
+    """One document of each group of near duplicates, linked at a similarity of 0.80."""
+    return near_dedup.keep_first(docs, near_dedup.NearDup(percent=80))
 
 
 def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

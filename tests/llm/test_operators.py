@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillon.llm import importance_sampling, license_scan, mixing, near_dedup, ogg_media, packing, pii, quality_rules, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -204,6 +205,31 @@ def test_near_dedup_of_edited_copies(spark):
     assert 1 < len(set(component.values())) < 60
 
 
+def test_near_duplicate_stage(spark, tmp_path):
+    """The pipeline's stage links at 0.80: chains of edited copies, many of whose pairs lie between 0.80 and 0.85."""
+    rng = random.Random(11)
+    texts = {}
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(120)]
+        texts[group * 10] = " ".join(base)
+        for i in range(1, 5):  # a place of edits costs five shingles
+            w = list(base)
+            for at in rng.sample(range(5, 115, 10), 1 + (group + i) % 4):
+                w[at] = f"x{group}y{i}z{at}"
+            texts[group * 10 + i] = " ".join(w)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in texts.items()}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in texts for b in texts if a < b}
+    component = {i: i for i in texts}
+    for (a, b), x in share.items():
+        if x >= 0.8:
+            low, high = sorted((component[a], component[b]))
+            component = {k: low if v == high else v for k, v in component.items()}
+    d = spark.createDataFrame([(i, t, "s") for i, t in texts.items()] + [(900, None, "s"), (901, "", "s")], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.source) for r in corpus_pipeline.near_duplicates_out(spark, d, str(tmp_path)).collect()}
+    assert got == {i: (t, "s") for i, t in texts.items() if component[i] == i} | {900: (None, "s"), 901: ("", "s")}
+    assert sum(0.8 <= x < 0.85 for x in share.values()) > 10 and any(0.7 < x < 0.8 for x in share.values())
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
