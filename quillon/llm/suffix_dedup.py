@@ -68,11 +68,11 @@ _UP, _DOWN = _powers(_BASE, _BLOCK + WINDOW), _powers(_INVERSE, _BLOCK + WINDOW)
 def units(raw: bytes) -> tuple[np.ndarray, ...]:
     """(anchor hash, first window, number of windows, anchor's place after the first window's start) of each unit.
 
-    Long texts are taken in overlapping blocks; a unit cut by a block's edge is two units, which
-    changes nothing but their number.
+    Long texts are taken in overlapping blocks that hold each window once; a unit cut by a block's edge is
+    two units of different windows, which changes nothing but their number.
     """
     parts = []
-    for at in range(0, max(1, len(raw) - WINDOW + 1), _BLOCK - WINDOW):
+    for at in range(0, max(1, len(raw) - WINDOW + 1), _BLOCK - WINDOW + 1):
         b = np.frombuffer(raw, dtype=np.uint8, count=min(_BLOCK, len(raw) - at), offset=at).astype(np.uint64) + _U(1)
         if len(b) < WINDOW:
             continue

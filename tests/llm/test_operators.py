@@ -110,6 +110,20 @@ def test_suffix_dedup(docs, texts):
     assert got == want
 
 
+def test_suffix_dedup_of_very_long_texts(spark):
+    """Over two blocks' edges: a text whose windows all differ stays whole, one that repeats parts across the edges loses them."""
+    block, rng = suffix_dedup._BLOCK, random.Random(7)
+    plain = rng.randbytes(block + 6000).hex()
+    repeats = plain[block - 400 : block + 300] + rng.randbytes(block // 2 + 900).hex() + plain[2 * block - 500 : 2 * block + 100]
+    texts = {1: plain, 2: repeats, 3: rng.randbytes(block // 2).hex()}
+    for t in texts.values():
+        _, p, n, _ = suffix_dedup.units(t.encode())
+        assert [x for a, k in zip(p.tolist(), n.tolist(), strict=True) for x in range(a, a + k)] == list(range(len(t) - 99))
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_removed(texts)
+    assert got[1][1:3] == (0, 0) and got[2][1] >= 1300 and got[3][1] == 0
+
+
 def test_loser_tree():
     runs = [sorted(x) for x in ([b"ab", b"abc", b"b"], [b"abc", b"abd"], [b""], [], [b"a" * 40, b"a" * 40 + b"z"])]
 
