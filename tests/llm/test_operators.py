@@ -145,6 +145,22 @@ def test_licenses(spark):
     assert {r.doc_id: r.findings for r in license_scan.scan(d).collect()} == {0: "MIT:1", 1: "", 2: "", 3: "", 4: "Apache-2.0:0"}
 
 
+def test_licenses_of_long_lines(spark):
+    """Every licence of a line is found wherever it stands, at any length, and each family alone gives itself."""
+    idle = "var a = b . c ( d ) ; return the list of all rows "
+    three = "Released under the MIT License. " + idle * 20 + "Licensed under the Apache License, Version 2.0. " + idle * 20 + "SPDX-License-Identifier: MPL-2.0 " + idle * 9
+    cases = ["The driver was licensed in the city. " + idle * 30 + "Released under the MIT License.", three, idle * 200 + "the licence of the driver " + idle * 200]
+    mit = "Released under the MIT License. "
+    cases += [(mit + idle * 30)[:n] for n in (599, 600, 601)] + [(idle * 30)[:n] + mit for n in (567, 569, 571)]
+    wordings = [(family, x) for family, v in license_scan.TEMPLATES.items() for x in v]
+    cases += [idle * 30 + x + " " + idle * 30 for _, x in wordings]
+    cases.append(mit + "Licensed under the Apache License, Version 2.0.")
+    d = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: (set(r.findings.split(",")) - {""}, r.n_licenses) for r in license_scan.scan(d).collect()}
+    want = [{"MIT:0"}, {"MIT:0", "Apache-2.0:0", "MPL-2.0:0"}, set(), *[{"MIT:0"}] * 6, *({f"{family}:0"} for family, _ in wordings), {"MIT:0", "Apache-2.0:0"}]
+    assert got == {i: (x, len(x)) for i, x in enumerate(want)}
+
+
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
