@@ -2,14 +2,16 @@
 
 Base kinds (email, ip, card, phone) are found by their expressions and tests and always stay. Other
 generators propose spans with high recall (keys, hexadecimal tokens, assigned passwords, national
-numbers, account numbers, local phone numbers); they may overlap base spans. Boosted trees score each proposal by
-format and context, and a threshold for each kind, calibrated on rows that the trees have not seen,
-selects what is added. Trees and thresholds become one SQL expression.
+numbers, account numbers, local phone numbers). Each runs by itself, so proposals overlap one another
+and base spans. Boosted trees score each proposal by format and context, and a threshold for each kind,
+calibrated on rows that the trees have not seen, selects what is added. Trees and thresholds become
+one SQL expression.
 
 The trees are trained on the driver on a synthetic, seeded set of TRAINING_ROWS proposals, whose
-features come from the same expressions. All else happens within the row: no shuffle, no state.
-Texts without a digit or @ hold nothing and skip the expressions. Defined results: a null text is
-empty and has no spans; repeated rows are scanned one by one; extra columns are left alone.
+features come from the same expressions. All else happens within the row: no shuffle, no state, and
+time in proportion to the text and its spans, whatever their number. Defined results: a null text is
+empty and has no spans; repeated rows and rows of a null id are scanned one by one; equal spans of
+different kinds are all given; an empty table gives no rows; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import json
 import random
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,18 +37,24 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-# Further generators, in the order in which one expression tries them at a place.
+# Further generators. Lengths are open: a long secret is proposed whole.
+KEY_HEADS = ("AKIA", "ASIA", "AROA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-")
 GENERATORS = {
-    "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|ghp_|gho_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,60}+",
-    "password": r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api_?key|auth)[\x20]?[=:][\x20]?[^\s,;]{6,80}+",
-    "hex": r"(?<![A-Za-z0-9])[0-9a-f]{16,128}+(?![A-Za-z0-9])",
+    "key": rf"(?<![A-Za-z0-9])(?:{'|'.join(KEY_HEADS)})[A-Za-z0-9_-]{{12,}}+",
+    "password": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api_?key|auth)[\x20]?[=:][\x20]?[^\s,;]{6,}+",
+    "hex": r"(?<![A-Za-z0-9])[0-9a-f]{16,}+(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?+[A-Z0-9]){11,30}+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
     "local": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 ORDER = {k: i for i, k in enumerate((*KINDS, *GENERATORS))}
 TRAINING_ROWS = 3000
+#: Characters before a proposal that count as its context.
+CONTEXT = 24
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,s:string>>"
+PROPOSAL = "array<struct<start:int,rank:int,end:int,kind:string,s:string,before:string>>"
+#: Elements of a running sum, and characters of a long text, that are handled as one block.
+_BLOCK, _CHUNK = 256, 1024
 
 
 def _digits(s: Column) -> Column:
@@ -64,30 +74,60 @@ def luhn(s: Column) -> Column:
     return total % 10 == 0
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of values (longs) what combine makes of 0 and all before it, and one more for all of them.
+
+    Blocks of values are folded first, then each block starts from the fold of those before it, so an
+    array grows by single elements only within a block, and the time is in proportion to the values.
+    """
+    zero = F.lit(0).cast("long")
+    last = lambda x: F.element_at(x, -1)
+    grown = lambda x, v: F.concat(x, F.array(combine(last(x), v)))
+
+    def made(blocks: Column) -> Column:
+        heads = F.aggregate(blocks, F.array(zero), lambda x, b: F.concat(x, F.array(F.aggregate(b, last(x), combine))))
+        return _bound(
+            F.struct(blocks.alias("b"), heads.alias("h")),
+            lambda x: F.concat(
+                F.flatten(F.transform(x["b"], lambda b, k: F.slice(F.aggregate(b, F.array(F.get(x["h"], k)), grown), 1, F.size(b)))), F.array(last(x["h"]))
+            ),
+        )
+
+    count = F.ceil(F.size(values) / F.lit(_BLOCK)).cast("int")
+    cut = _bound(values, lambda v: F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(v, k * _BLOCK + 1, _BLOCK)))
+    return F.when(F.size(values) > 0, _bound(cut, made)).otherwise(F.array(zero))
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """Matches of pattern as an array of (start, s): leftmost, not overlapping; code points.
+    """Matches of pattern as an array of (start, s, before): leftmost, not overlapping; code points.
 
     What lies between matches (split) and the matches themselves alternate, so lengths give places.
+    before: the last characters between this match and the one before it.
     """
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("b"), m.alias("m")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,s:string>>").alias("out"))
-    return F.aggregate(
-        pairs, empty,
-        lambda a, p: F.struct(
-            (a["at"] + p["b"] + F.length(p["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + p["b"]).alias("start"), p["m"].alias("s")))).alias("out"),
-        ),
-        lambda a: a["out"],
+    pairs = _bound(
+        F.struct(between.alias("b"), found.alias("m")),
+        lambda x: F.zip_with(F.slice(x["b"], 1, F.size(x["m"])), x["m"], lambda b, m: F.struct(F.length(b).alias("n"), F.right(b, F.lit(CONTEXT)).alias("before"), m.alias("s"))),
     )
 
+    def placed(p: Column) -> Column:
+        at = _running(F.transform(p, lambda x: (x["n"] + F.length(x["s"])).cast("long")), lambda a, v: a + v)
+        return F.zip_with(p, F.slice(at, 1, F.size(p)), lambda x, a: F.struct((a + x["n"]).cast("int").alias("start"), x["s"].alias("s"), x["before"].alias("before")))
 
-def _spans(found: Column, kind: Column) -> Column:
+    return _bound(pairs, placed)
+
+
+def _spans(found: Column, kind: str, *also: str) -> Column:
     return F.transform(
         found,
         lambda x: F.struct(
-            x["start"].alias("start"), F.element_at(F.create_map(*[F.lit(v) for kv in ORDER.items() for v in kv]), kind).alias("rank"),
-            (x["start"] + F.length(x["s"])).alias("end"), kind.alias("kind"), x["s"].alias("s"),
+            x["start"].alias("start"), F.lit(ORDER[kind]).alias("rank"), (x["start"] + F.length(x["s"])).alias("end"), F.lit(kind).alias("kind"),
+            x["s"].alias("s"), *[x[c].alias(c) for c in also],
         ),
     )
 
@@ -110,12 +150,22 @@ def base_spans(text: Column) -> Column:
     parts = []
     for kind, (pattern, may, test) in tests.items():
         good = F.filter(_located(text, pattern), _on_text(test))
-        parts.append(F.when(may, _spans(good, F.lit(kind))).otherwise(F.array().cast(SPAN)))
+        parts.append(F.when(may, _spans(good, kind)).otherwise(F.array().cast(SPAN)))
     return F.concat(*parts)
 
 
+def proposals(text: Column) -> Column:
+    """What the generators propose, each by itself: (start, rank, end, kind, s, before), unsorted."""
+    may = {
+        "key": reduce(or_, (text.contains(x) for x in KEY_HEADS)), "password": text.contains("=") | text.contains(":"), "hex": text.rlike("[0-9a-f]{16}"),
+        "ssn": text.rlike("[0-9]-[0-9]{2}-[0-9]"), "iban": text.rlike("[A-Z]{2}[0-9]{2}"), "local": text.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
+    }
+    none = F.array().cast(PROPOSAL)
+    return F.concat(*[F.when(may[k], _spans(_located(text, p), k, "before")).otherwise(none) for k, p in GENERATORS.items()])
+
+
 FEATURES = (
-    "length", "digits", "letters", "capitals", "marks", "distinct", "keyword", "assigned", "quoted", "decoy",
+    "length", "digits", "letters", "capitals", "marks", "distinct", "value", "equals", "masked", "keyword", "assigned", "quoted", "decoy",
     *(f"is_{k}" for k in GENERATORS),
 )
 
@@ -124,11 +174,13 @@ def features(x: Column, before: Column) -> dict[str, Column]:
     """Format features of a proposal x (kind, s) and of the text before it."""
     s, n = x["s"], F.greatest(F.length(x["s"]), F.lit(1)).cast("double")
     share = lambda drop: F.length(F.regexp_replace(s, drop, "")) / n
+    value = F.regexp_replace(s, r"^[A-Za-z_]+[\x20]?[=:][\x20]?", "")
     near = F.lower(before)
     has = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
     out = {
         "length": n, "digits": share("[^0-9]"), "letters": share("[^A-Za-z]"), "capitals": share("[^A-Z]"), "marks": share("[A-Za-z0-9]"),
-        "distinct": F.size(F.array_distinct(F.split(s, ""))) / n,
+        "distinct": F.size(F.array_distinct(F.split(F.left(s, F.lit(64)), ""))).cast("double"),
+        "value": F.length(value).cast("double"), "equals": has(s.contains("=")), "masked": has(value.rlike(r"^(?:(.)\1*+|[<\[{$%].*|.*\*\*.*)$")),
         "keyword": has(near.rlike(r"key|token|secret|passw|pwd|auth|ssn|social|iban|account|phone|tel|call|mobile|aws")),
         "assigned": has(near.rlike(r"[=:]\s?[\"']?$")), "quoted": has(near.rlike(r"[\"']$")),
         "decoy": has(near.rlike(r"version|commit|sha|md5|isbn|invoice|order|revision|checksum|example|part no|serial")),
@@ -173,10 +225,14 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: float
     return split(np.arange(len(x)), depth)
 
 
-def _run(tree, row: np.ndarray) -> float:
-    while isinstance(tree, tuple):
-        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-    return tree
+def _run(tree, x: np.ndarray) -> np.ndarray:
+    """The tree's value for each row."""
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    low = x[:, tree[0]] <= tree[1]
+    out = np.empty(len(x))
+    out[low], out[~low] = _run(tree[2], x[low]), _run(tree[3], x[~low])
+    return out
 
 
 def boost(x: np.ndarray, y: np.ndarray, kinds: list[str], rounds: int = 25, depth: int = 3, rate: float = 0.3, precision: float = 0.97) -> Trees:
@@ -189,16 +245,16 @@ def boost(x: np.ndarray, y: np.ndarray, kinds: list[str], rounds: int = 25, dept
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-z))
         tree = _grow(a, ya - p, p * (1 - p), depth)
-        z += rate * np.array([_run(tree, r) for r in a])
+        z += rate * _run(tree, a)
         trees.append(tree)
-    scores = base + rate * np.array([[_run(t, r) for t in trees] for r in x]).sum(1)
+    scores = base + rate * sum(_run(t, x) for t in trees)
     thresholds = {}
     for kind in dict.fromkeys(kinds):
         i = unseen & (np.array(kinds) == kind)
         order = np.argsort(-scores[i], kind="stable")
         s, hit = scores[i][order], np.cumsum(y[i][order])
         good = np.flatnonzero((hit / np.arange(1, len(s) + 1) >= precision) & (y[i][order] == 1))
-        thresholds[kind] = float(s[good[-1]]) - 0.5 if len(good) else float("inf")
+        thresholds[kind] = float(s[good[-1]]) - 1e-9 if len(good) else float("inf")  # the expression sums in another order
     return Trees(base, [(rate, t) for t in trees], thresholds)
 
 
@@ -230,7 +286,12 @@ def synthetic(n: int = TRAINING_ROWS, seed: int = 3) -> list[dict]:
             s = r.choice(["AKIA", "ASIA", "ghp_", "sk-"]) + (pick(upper + digit, 16) if real else r.choice([pick(upper[0], 14), pick("X-_", 14), pick(lower, 13)]))
             cue += r.choice(["", "key: ", "aws "]) if real else r.choice(["", "example "])
         elif kind == "password":
-            s = r.choice(["password", "token", "api_key", "secret"]) + r.choice(["=", ": "]) + (pick(lower + upper + digit, r.randint(8, 24)) + r.choice(digit) if real else r.choice(["required", "********", "<hidden>", "changeme", "xxxxxxxx"]))
+            words = lambda k, by: by.join(pick(lower, r.randint(4, 8)) for _ in range(k))
+            if real:
+                s = r.choice([pick(lower + upper + digit, r.randint(8, 60)) + r.choice(digit), words(3, ""), words(3, r.choice("-_."))])
+            else:
+                s = r.choice(["required", "********", "<hidden>", "changeme", "xxxxxxxx", pick(lower, r.randint(6, 9)), pick(lower, r.randint(6, 9)) + "."])
+            s = r.choice(["password", "Password", "token", "api_key", "secret"]) + r.choice(["=", ": ", " = "]) + s
         elif kind == "hex":
             s = pick("0123456789abcdef", r.choice([18, 32, 40, 64])) if real else r.choice([pick("0", 20), pick("01", 18), pick("abcdef", 17), pick(digit, 17), pick("0123456789abcdef", 40)])
             if real:
@@ -267,26 +328,28 @@ def trained(spark: SparkSession, n: int = TRAINING_ROWS) -> Trees:
 def with_spans(docs: DataFrame, out: str) -> DataFrame:
     """docs with an array of (start, rank, end, kind, s), sorted by start, then kind."""
     trees = trained(docs.sparkSession)
-    text, may, base, extra = (temporary(docs, x) for x in ("text", "may", "base", "extra"))
+    text, base, extra = (temporary(docs, x) for x in ("text", "base", "extra"))
     d = docs.withColumn(text, text_of(docs))
-    d = d.withColumn(may, F.col(text).rlike("[0-9@]"))
-    none = F.array().cast(SPAN)
-    d = d.withColumn(base, F.when(F.col(may), base_spans(F.col(text))).otherwise(none))
-    joined = "|".join(f"(?:{p})" for p in GENERATORS.values())
-    proposed = _located(F.col(text), joined)
-    kind = lambda s: F.coalesce(*[F.when(s.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in GENERATORS.items()], F.lit("hex"))
-    typed = F.flatten(F.transform(proposed, lambda x: _spans(F.array(x), kind(x["s"]))))
-    d = d.withColumn(extra, F.when(F.col(may), typed).otherwise(none))
-    clear = F.filter(extra, lambda x: (x["s"].rlike("[0-9]")) & ~F.exists(F.col(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    measured = F.transform(
-        clear,
-        lambda x: F.struct(x.alias("x"), F.struct(*[v.alias(k) for k, v in features(x, F.substring(F.col(text), F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))).items()]).alias("f")),
-    )
-    scored = F.transform(measured, lambda m: F.struct(m["x"].alias("x"), score(trees, m["f"]).alias("z")))
+    d = d.withColumn(base, base_spans(F.col(text))).withColumn(extra, proposals(F.col(text)))
     least = F.create_map(*[F.lit(v) for k in GENERATORS for v in (k, trees.thresholds.get(k, float("inf")))])
-    added = F.transform(F.filter(scored, lambda m: m["z"] >= F.element_at(least, m["x"]["kind"])), lambda m: m["x"])
-    spans = F.when(F.size(base) + F.size(extra) > 0, F.sort_array(F.concat(F.col(base), added))).otherwise(none)
-    return d.withColumn(out, spans).drop(text, may, base, extra)
+
+    def chosen(x: Column) -> Column:
+        f = F.struct(*[v.alias(k) for k, v in features(x, x["before"]).items()])
+        return _bound(f, lambda f: score(trees, f)) >= F.element_at(least, x["kind"])
+
+    added = F.transform(F.filter(extra, chosen), lambda x: F.struct(*[x[c].alias(c) for c in ("start", "rank", "end", "kind", "s")]))
+    spans = F.when(F.size(extra) == 0, F.sort_array(base)).otherwise(_bound(F.sort_array(F.concat(F.col(base), added)), _without_covered))
+    return d.withColumn(out, spans).drop(text, base, extra)
+
+
+def _without_covered(spans: Column) -> Column:
+    """Sorted spans without added ones that lie within one base span: these stand for them."""
+    is_base = lambda x: x["rank"] < len(KINDS)
+    reach = _running(F.transform(spans, lambda x: F.when(is_base(x), x["end"]).otherwise(0).cast("long")), lambda a, v: F.greatest(a, v))
+    kept = _bound(
+        F.arrays_zip(spans.alias("s"), F.slice(reach, 1, F.size(spans)).alias("to")), lambda z: F.transform(F.filter(z, lambda y: is_base(y["s"]) | (y["s"]["end"] > y["to"])), lambda y: y["s"])
+    )
+    return F.when(F.exists(spans, is_base), kept).otherwise(spans)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -304,15 +367,25 @@ def redact(docs: DataFrame) -> DataFrame:
     name = temporary(docs, "spans")
     d = held(with_spans(docs, name), *docs.columns)
     text = text_of(docs)
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        F.col(name), empty,
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["end"]).alias("at"),
-            F.when(x["start"] < a["at"], a["out"])
-            .otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    new = F.when(F.size(name) > 0, done).otherwise(F.col("text"))
+
+    def replaced(x: Column) -> Column:
+        """x: spans, the end of all before each span and at last of all, and the text in chunks, so that a place is found without a walk over the text."""
+        chunk = lambda i: F.coalesce(F.get(x["chunks"], i), F.lit(""))
+
+        def part(a: Column, b: Column) -> Column:
+            i, j = F.floor(a / F.lit(_CHUNK)).cast("int"), F.floor(b / F.lit(_CHUNK)).cast("int")
+            at, to = (a % _CHUNK).cast("int"), (b % _CHUNK).cast("int")
+            return F.when(i == j, F.substr(chunk(i), at + 1, to - at)).otherwise(
+                F.concat(F.substr(chunk(i), at + 1), F.array_join(F.slice(x["chunks"], i + 2, j - i - 1), ""), F.substr(chunk(j), F.lit(1), to))
+            )
+
+        ended = F.slice(x["ends"], 1, F.size(x["spans"]))
+        first = F.filter(F.arrays_zip(x["spans"].alias("s"), ended.alias("at")), lambda y: y["s"]["start"] >= y["at"])
+        pieces = F.transform(first, lambda y: F.concat(part(y["at"], y["s"]["start"].cast("long")), F.lit("["), F.upper(y["s"]["kind"]), F.lit("]")))
+        return F.array_join(F.concat(pieces, F.array(part(F.element_at(x["ends"], -1), x["n"]))), "")
+
+    ends = _running(F.transform(name, lambda x: x["end"].cast("long")), lambda a, v: F.greatest(a, v))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), 0)
+    whole = F.struct(F.col(name).alias("spans"), ends.alias("ends"), chunks.alias("chunks"), F.length(text).cast("long").alias("n"))
+    new = F.when(F.size(name) > 0, _bound(whole, replaced)).otherwise(F.col("text"))
     return d.select(*[F.coalesce(F.length(new).cast("long"), F.lit(0).cast("long")).alias(c) if c == "n_chars" else new.alias(c) if c == "text" else F.col(c) for c in docs.columns])
