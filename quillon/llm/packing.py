@@ -5,8 +5,10 @@ with as many of the longest length as fit. Pieces of equal length form a bucket,
 sequence of its own: no sequence crosses documents and none needs padding.
 
 The work is one pass over the documents: no shuffle, and a task holds one Arrow batch. Defined
-results: a null or empty text is its end token alone (one piece of length 1); repeated rows are
-packed each; extra columns are ignored. A sequence's number is its task's number and its rank in
+results: a null or empty text is its end token alone (one piece of length 1); repeated rows and rows
+of a null id are packed each; an empty table gives no pieces; texts of any length and runs of white
+space of any length are encoded whole; a special token spelled out in a text is ordinary text; extra
+columns are ignored. A sequence's number is its task's number and its rank in
 the task, the same again when a lost task is run anew over the same split.
 """
 
@@ -30,6 +32,8 @@ MAX_LENGTH = 2048
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 SPLIT_RUNS = SPLIT.removesuffix(r"|\s+") + r"|\s+(?!\S)|\s+"
 _RUN = re.compile(r"\s\s")
+# White space as the expression above knows it, in runs too long for its look ahead.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -43,7 +47,16 @@ class Encoder:
         self.plain, self.runs = form(SPLIT), form(SPLIT_RUNS)
 
     def encode(self, text: str) -> list[int]:
-        return (self.runs if _RUN.search(text) else self.plain).encode_ordinary(text)
+        if not _RUN.search(text):
+            return self.plain.encode_ordinary(text)
+        out, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            # a run is one piece but for its last character, which goes with what follows
+            end = run.end() - (run.end() < len(text))
+            out += self.runs.encode_ordinary(text[at : run.start()])
+            out += self.runs._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + self.runs.encode_ordinary(text[at:])
 
 
 def encoder(path: str) -> Encoder:
