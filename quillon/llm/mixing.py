@@ -1,19 +1,24 @@
 """Mixing sources to target weights, on DataFrame functions only.
 
 The words of each source are packed, in a fixed order of its documents, into blocks of a fixed
-length. Output shards of a fixed number of slots draw how many slots each source gets from a
-multinomial whose uniform numbers are stratified (one a slot of the shard), so each count lies
-within one of its expectation. A source's slots, counted over the shards, run through
-pseudorandom permutations of its block numbers, one permutation a pass; blocks are then joined
-by source and number.
+length. Output shards of a fixed number of slots draw their sources: each slot is an independent draw
+by the sources' shares, so a shard's counts are multinomial. Correction: over all shards a source may
+have drawn more or fewer slots than its target; the surplus, spread evenly over a source's slots, goes
+to the sources that lack slots, which moves a share of slots of the order of the draw's error and makes
+each source's total exact to a block. A source's slots, counted over the shards, run through
+pseudorandom permutations of its block numbers, one permutation a pass; blocks are then joined by
+source and number.
 
 A source with a third of all rows is no hot spot: its order is cut into salted chunks, whose totals
-are summed first; a window never sees more than one chunk or the list of chunks of one source.
+are summed first; a window sees one chunk, the list of chunks of one source, one group of shards or the
+groups of shards of one source. Only the list of sources itself, a row each, is ordered in one task.
 Everything else has a row per source and shard, per block, or per document and block.
 
 Defined results: a null text has size 0 and is never taken; a null source is one source, ordered
-last; no document is taken more than 3 times; repeated rows are separate documents of equal id in a
-fixed order; no rows give no rows. The same input gives the same mix.
+last; no document is taken more than 3 times; repeated rows and rows of a null id are separate documents
+in a fixed order; a source without words has target 0; no rows give no rows; extra columns are ignored
+by `taken` and carried along by `mixed`; texts of any length are cut at blocks. The same input gives the
+same mix.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import temporary, text_of, words
+from quillon.llm.common import staged, temporary, text_of, words
 
 
 @dataclass(frozen=True)
@@ -34,7 +39,11 @@ class Mixture:
     passes: int = 3
     block_words: int = 64
     shard_slots: int = 4096
-    chunks: int = 256
+    #: Chunks of a source's order, and shards summed at a time: a window holds so many rows, or a chunk.
+    chunks: int = 1 << 14
+    shard_group: int = 1024
+    #: Cells of the unit interval in which a draw looks up its source.
+    cells: int = 1024
     seed: int = 29
 
 
@@ -73,14 +82,18 @@ def _gcd_step(n: Column, *parts: Column) -> Column:
 
 
 def permuted(index: Column, n: Column, *key: Column) -> Column:
-    """index in [0, n) through a permutation of [0, n) that key chooses: affine steps on both sides of a reversal."""
+    """index in [0, n) through a permutation of [0, n) that key chooses: affine steps on both sides of a reversal.
+
+    Products are made in 38 digits, so n may be as large as 2^60.
+    """
     a, b = _gcd_step(n, *key, F.lit(1)), F.pmod(F.xxhash64(*key, F.lit(2)), n)
     c, d = _gcd_step(n, *key, F.lit(3)), F.pmod(F.xxhash64(*key, F.lit(4)), n)
-    # products stay below 2^63 for n up to 2^32 blocks a source
-    once = F.pmod(index * (a % n) + b, n)
+    wide = lambda x: x.cast("decimal(19,0)")
+    step = lambda x, times, plus: F.pmod(wide(x) * wide(times % n) + wide(plus), wide(n)).cast("long")
+    once = step(index, a, b)
     # swap odd and even positions in the lower part, then a second affine step
     odd = F.when(once < n - n % 2, once.bitwiseXOR(F.lit(1).cast("long"))).otherwise(once)
-    return F.pmod(odd * (c % n) + d, n)
+    return step(odd, c, d)
 
 
 def draw(docs: DataFrame, mix: Mixture = Mixture()) -> tuple[DataFrame, DataFrame]:
@@ -96,11 +109,11 @@ def draw(docs: DataFrame, mix: Mixture = Mixture()) -> tuple[DataFrame, DataFram
     )
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(mix.seed)), F.lit(mix.chunks)).cast("int"))
     key = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
-    d = d.withColumn("s", key.cast("struct<n:boolean,v:string>"))
+    d = staged(d.withColumn("s", key.cast("struct<n:boolean,v:string>")), "sizes")  # words are counted once
     totals = d.groupBy("s", "source", "chunk").agg(F.sum("size").alias("chunk_size"))
     sizes = totals.groupBy("s", "source").agg(F.sum("chunk_size").alias("source_size"))
     plan = targets(sizes.select("source", "source_size"), mix)
-    plan = plan.withColumn("s", key.cast("struct<n:boolean,v:string>")).drop("source")
+    plan = staged(plan.withColumn("s", key.cast("struct<n:boolean,v:string>")).drop("source"), "plan")  # a row a source
     before = F.sum("chunk_size").over(Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     heads = totals.select("s", "chunk", F.coalesce(before, F.lit(0)).alias("chunk_start")).join(plan, "s")
     inner = F.sum("size").over(
@@ -108,37 +121,72 @@ def draw(docs: DataFrame, mix: Mixture = Mixture()) -> tuple[DataFrame, DataFram
     )
     placed = d.withColumn("in_chunk", F.coalesce(inner, F.lit(0))).join(heads, ["s", "chunk"])
     placed = placed.select("doc_id", "s", "size", "tie", (F.col("chunk_start") + F.col("in_chunk")).alias("start"), "source_size", "target")
+    return placed, _slots(plan, mix)
+
 
-    # in blocks: target / size of a source is the number of passes over its blocks
+def _slots(plan: DataFrame, mix: Mixture) -> DataFrame:
+    """shard, slot, s, pass, block from the sources' sizes and targets."""
+    spark = plan.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # windows over the list of sources, a row each
+    ordered = Window.orderBy("s")
+    upto, earlier = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(Window.unboundedPreceding, -1)
     b = plan.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / mix.block_words))
     b = b.withColumn("wanted", F.col("target") / F.col("source_size") * F.col("blocks"))
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    b = b.withColumn("to", F.sum("wanted").over(up)).withColumn("all", F.sum("wanted").over(Window.partitionBy()))
-    b = b.withColumn("shards", F.ceil(F.col("all") / mix.shard_slots))
-    shard = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")
-    grid = b.select("s", "blocks", "wanted", "to", "all", "shards", shard)
-    slots = F.round(F.col("all") / F.col("shards")).cast("long")  # of each shard
-
-    def edge(share: Column) -> Column:
-        """Slots of the shard whose uniform number lies below share; that of slot i is drawn from [i, i + 1) / slots."""
-        x = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * slots
-        whole = F.floor(x)
-        # a band about the last edge keeps rounding errors from opening a slot at 1
-        part = F.when(x - whole > 1e-6, _unit(F.col("shard"), whole, F.lit(mix.seed)) < x - whole).otherwise(F.lit(False))
-        return whole + part.cast("long")
-
-    count = edge(F.col("to") / F.col("all")) - edge((F.col("to") - F.col("wanted")) / F.col("all"))
-    grid = grid.select("s", "blocks", "shard", count.alias("n"))
-    run = F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    grid = grid.withColumn("first", F.coalesce(run, F.lit(0))).where("n > 0")
-    grid = grid.repartition("s", "shard")  # a source's slots are made by as many tasks as it has shards
+    b = b.withColumn("to", F.sum("wanted").over(upto)).withColumn("all", F.sum("wanted").over(Window.partitionBy()))
+    whole = lambda x: F.floor(x + 0.5)
+    b = b.withColumn("due", whole(F.col("to")) - whole(F.coalesce(F.lag("to").over(ordered), F.lit(0.0))))  # adds up to all, rounded
+    low = F.coalesce(F.lag("to").over(ordered), F.lit(0.0)) / F.col("all")
+    high = F.when(F.lead("to").over(ordered).isNull(), F.lit(2.0)).otherwise(F.col("to") / F.col("all"))
+    b = staged(b.select("s", "blocks", "due", low.alias("low"), high.alias("high")), "shares")
+    slots = b.agg(F.sum("due")).first()[0] or 0
+    shards = max(1, -(-slots // mix.shard_slots))
+
+    # the draw: a shard's slots are numbers in (0, 1), each of which lies in one source's share
+    cell = lambda x: F.floor(x * mix.cells)
+    edges = b.select("s", "low", "high", F.explode(F.sequence(cell(F.col("low")), F.least(cell(F.col("high")), F.lit(mix.cells - 1)))).alias("cell"))
+    shard = spark.range(0, shards, 1, min(shards, partitions)).withColumnRenamed("id", "shard")
+    shard = shard.withColumn("n", F.lit(slots // shards) + (F.col("shard") < slots % shards).cast("long")).where("n > 0")
+    drawn = shard.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    drawn = drawn.withColumn("u", _unit(F.col("shard"), F.col("i"), F.lit(mix.seed))).withColumn("cell", cell(F.col("u")))
+    hit = drawn.join(edges, "cell").where("u >= low AND u < high")  # broadcast by Spark's own size check, merged beyond it
+    counts = staged(hit.groupBy("s", "shard").agg(F.count(F.lit(1)).alias("n")), "counts")
+
+    # the correction: sources that drew too many give spare slots to those that drew too few
+    total = F.coalesce("total", F.lit(0))
+    even = b.join(counts.groupBy("s").agg(F.sum("n").alias("total")), "s", "left").select("s", "blocks", "due", total.alias("total"))
+    even = even.withColumn("spare", F.greatest(F.col("total") - F.col("due"), F.lit(0))).withColumn("lack", F.greatest(F.col("due") - F.col("total"), F.lit(0)))
+    since = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    even = even.withColumn("spare_from", since("spare")).withColumn("lack_from", since("lack"))
+    wanting = even.where("lack > 0").select(
+        F.col("s").alias("to_s"), F.col("blocks").alias("to_blocks"), (F.col("total") - F.col("lack_from")).alias("shift"),
+        F.explode(F.sequence(F.col("lack_from"), F.col("lack_from") + F.col("lack") - 1)).alias("number"),
+    )
+
+    # a source's slots are numbered over the shards by sums of two levels
+    group = F.floor(F.col("shard") / mix.shard_group)
+    grid = counts.withColumn("group", group)
+    heads = grid.groupBy("s", "group").agg(F.sum("n").alias("group_n"))
+    heads = heads.select("s", "group", F.coalesce(F.sum("group_n").over(Window.partitionBy("s").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("head"))
+    run = F.sum("n").over(Window.partitionBy("s", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    grid = grid.withColumn("run", F.coalesce(run, F.lit(0))).join(heads, ["s", "group"]).withColumn("first", F.col("head") + F.col("run"))
+    in_shard = F.sum("n").over(Window.partitionBy("shard").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    grid = grid.withColumn("slot", F.coalesce(in_shard, F.lit(0))).select("s", "shard", "n", "first", "slot").join(even.drop("due", "lack", "lack_from"), "s")
+    grid = grid.repartition(partitions, "s", "shard")  # a source's slots are made by as many tasks as it has shards
     j = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j")
-    drawn = grid.select("s", "blocks", "shard", "first", j)
-    # what rounding gives beyond the last pass is dropped: at most one slot a shard
-    drawn = drawn.where(F.col("j") < mix.passes * F.col("blocks"))
-    drawn = drawn.select("s", "shard", (F.col("j") - F.col("first")).alias("slot"), F.floor(F.col("j") / F.col("blocks")).alias("pass"), (F.col("j") % F.col("blocks")).alias("i"), "blocks")
+    numbered = grid.select("s", "shard", "blocks", "spare", "total", "spare_from", (F.col("slot") - F.col("first")).alias("slot"), j).withColumn("slot", F.col("slot") + F.col("j"))
+    given = lambda j: F.expr(f"CAST({j} AS DECIMAL(19,0)) * CAST(spare AS DECIMAL(19,0)) DIV CAST(total AS DECIMAL(19,0))")
+    numbered = numbered.withColumn("given", F.when(F.col("spare") > 0, given("j")).otherwise(0)).withColumn(
+        "gives", F.when(F.col("spare") > 0, given("(j + 1)") > F.col("given")).otherwise(F.lit(False))
+    )
+    kept = numbered.where("NOT gives").select("s", "shard", "slot", "blocks", (F.col("j") - F.col("given")).alias("i"))
+    moved = numbered.where("gives").withColumn("number", F.col("spare_from") + F.col("given")).join(wanting, "number")
+    moved = moved.select(F.col("to_s").alias("s"), "shard", "slot", F.col("to_blocks").alias("blocks"), (F.col("number") + F.col("shift")).alias("i"))
+    # what rounding gives beyond the last pass is dropped: at most one slot a source
+    taken = kept.unionAll(moved).where(F.col("i") < mix.passes * F.col("blocks"))
+    taken = taken.select("s", "shard", "slot", "blocks", F.floor(F.col("i") / F.col("blocks")).alias("pass"), (F.col("i") % F.col("blocks")).alias("i"))
     block = permuted(F.col("i"), F.col("blocks"), F.col("s"), F.col("pass"), F.lit(mix.seed))
-    return placed, drawn.select("s", "shard", "slot", "pass", block.alias("block"))
+    return taken.select("s", "shard", "slot", "pass", block.alias("block"))
 
 
 def _block_parts(placed: DataFrame, mix: Mixture) -> DataFrame:
