@@ -7,19 +7,28 @@ windows with one anchor are a unit; its context is the text they cover.
 
 1. Signatures: tasks group their units by anchor hash. Anchors met twice or more survive. Units
    that share an anchor within a task survive at once, and one of them stands for all.
-2. Runs: documents with surviving units cut the contexts as suffixes that begin at the anchor. Equal
-   contexts within a task keep the earliest; the others are removed whole. Suffixes are sorted,
-   front-coded (length shared with the one before, and the rest) and dealt by anchor.
+2. Runs: documents with surviving units cut the contexts as suffixes that begin at the anchor. Suffixes
+   are sorted and front-coded (length shared with the one before, and the rest); one that shares its
+   whole length with its neighbour is removed whole. Runs are dealt by anchor.
 3. Merge: each bucket's runs go through a loser tree whose nodes remember the prefix they share with
-   the last winner, so no known prefix is compared again. The shared prefixes of neighbours
-   delimit groups of one anchor; in a group, equal contexts are found as wholes, and windows of
-   different contexts one by one.
+   the last winner, so no known prefix is compared again. The shared prefixes of sorted neighbours
+   decide: the whole length is an equal context; less than an anchor ends a group; and for windows that
+   begin some bytes before the anchor, neighbours that share the window's other bytes form the blocks in
+   which those few bytes before it are sorted and compared.
 4. Removed intervals return to their documents.
 
 Equality is decided on text; hashes only choose what to compare. Tasks hold a run of RUN_BYTES of text
-or one document. Documents are shuffled once, used twice. Defined results: a null text is
-empty; texts under 100 bytes are never cut; doc_id is unique and not null (rows of a null id are
-returned uncut); extra columns are ignored; the first of equal texts stays whole.
+or one document. Documents are shuffled once, used twice. Hot groups: a group holds different contexts
+of one anchor, and of an anchor with more units than `hot_units` (or a millionth of the bytes) each
+window is a suffix of its own, dealt by its whole text: equal ones leave their run as one, so neither a
+common line in ever new surroundings nor a common passage meets in one task. At most two million such
+anchors exist, whatever the input; their hashes are broadcast.
+
+Defined results: a null text is empty; texts under 100 bytes are never cut; equal rows of one doc_id are
+one document, whose result is given for each of them; rows of a doc_id with different texts have no
+order, so they are returned uncut and cut nothing, and so are rows of a null id; an empty table gives no
+rows; extra columns are ignored; the first of equal texts stays whole; texts of any length are read
+whole, in blocks.
 """
 
 from __future__ import annotations
@@ -30,14 +39,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from quillon.llm.common import staged
+
 WINDOW = 100
 ANCHOR = 24
 RUN_BYTES = 12_000_000
 #: Bytes of input for each bucket of signatures and of runs.
 BUCKET_BYTES = 4_000_000
+#: Units beyond which an anchor's windows are dealt one by one.
+HOT_UNITS = 100_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -47,7 +60,9 @@ _BLOCK = 1 << 20
 _SIG = np.dtype([("key", "<u8"), ("doc", "<i8"), ("p", "<u4"), ("n", "u1"), ("off", "u1"), ("known", "u1")])
 _LOC = np.dtype([("p", "<u4"), ("n", "u1"), ("off", "u1")])
 _MARK = np.dtype([("begin", "<u4"), ("end", "<u4")])
-_ITEM = np.dtype([("doc", "<i8"), ("p", "<u4"), ("shared", "<u2"), ("rest", "<u2"), ("left", "u1")])
+_ITEM = np.dtype([("doc", "<i8"), ("p", "<u4"), ("shared", "u1"), ("rest", "u1")])
+#: A name's last byte: the anchor's place after its context's begin, or this for a window that is a suffix of its own.
+_ALONE = 255
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -123,10 +138,11 @@ def _signatures(buckets: int):
             if not len(s):
                 continue
             s = s[np.argsort(s["key"], kind="stable")]
-            new = np.concatenate([[True], s["key"][1:] != s["key"][:-1]])
-            last = np.concatenate([new[1:], [True]])
-            # 1: survives already and is only passed on; 2: survives and stands for its anchor here
-            s["known"] = np.where(new & last, 0, np.where(new, 2, 1))
+            first = np.flatnonzero(np.concatenate([[True], s["key"][1:] != s["key"][:-1]]))
+            size = np.diff(np.concatenate([first, [len(s)]]))
+            # 1: survives already and is only passed on; 2 + k: survives and stands for 2^k to 2^(k + 1) units of its anchor here
+            s["known"] = 1
+            s["known"][first] = np.where(size == 1, 0, 2 + np.log2(size).astype(int))
             bucket = np.where(s["known"] == 1, _mix(s["doc"].astype(np.uint64)), s["key"]) % _U(buckets)
             order = np.argsort(bucket, kind="stable")
             s, bucket = s[order], bucket[order].astype(np.int64)
@@ -146,17 +162,30 @@ def _by_doc(doc: np.ndarray, rows: np.ndarray) -> pa.Table:
     return pa.table({"doc": pa.array(doc[cut[:-1]], pa.int64()), "data": pa.array([rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
 
-def _surviving(group: pa.Table) -> pa.Table:
-    s = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_SIG) for x in group.column("data")])
-    passed, s = s[s["known"] == 1], s[s["known"] != 1]
-    s = s[np.argsort(s["key"], kind="stable")]
-    same = s["key"][1:] == s["key"][:-1]
-    twice = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(s) else np.empty(0, dtype=bool)
-    s = np.concatenate([passed, s[twice | (s["known"] == 2)]])
-    loc = np.empty(len(s), dtype=_LOC)
-    for c in ("p", "n", "off"):
-        loc[c] = s[c]
-    return _by_doc(s["doc"], loc)
+def _surviving(hot_units: int):
+    def make(group: pa.Table) -> pa.Table:
+        """Places of the surviving units by document, and under a null document the anchors with too many units."""
+        s = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_SIG) for x in group.column("data")])
+        passed, s = s[s["known"] == 1], s[s["known"] != 1]
+        s = s[np.argsort(s["key"], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], s["key"][1:] != s["key"][:-1]])) if len(s) else np.empty(0, dtype=int)
+        met = np.diff(np.concatenate([first, [len(s)]])) > 1
+        stands = np.where(s["known"] == 0, 1, 1 << np.maximum(s["known"].astype(np.int64) - 1, 0))
+        hot = s["key"][first][np.add.reduceat(stands, first) > hot_units] if len(s) else s["key"]
+        s = np.concatenate([passed, s[np.repeat(met, np.diff(np.concatenate([first, [len(s)]]))) | (s["known"] > 1)]])
+        loc = np.empty(len(s), dtype=_LOC)
+        for c in ("p", "n", "off"):
+            loc[c] = s[c]
+        out = _by_doc(s["doc"], loc)
+        return pa.concat_tables([out, pa.table([pa.nulls(1, pa.int64()), pa.array([hot.tobytes()], pa.binary())], schema=out.schema)]) if len(hot) else out
+
+    return make
+
+
+def anchor_keys(raw: bytes, places: np.ndarray) -> np.ndarray:
+    """The hashes of the anchors at these places, as `units` gives them."""
+    b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64) + _U(1)
+    return _mix((b[places[:, None] + np.arange(ANCHOR)] * _UP[:ANCHOR]).sum(1, dtype=np.uint64))
 
 
 def shared_prefix(a: bytes, b: bytes, at: int = 0) -> int:
@@ -169,35 +198,41 @@ def shared_prefix(a: bytes, b: bytes, at: int = 0) -> int:
     return min(at, end)
 
 
-def _sorted_runs(buckets: int):
+def _names(doc: int, raw: bytes, data: list[bytes], hot: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
+    """(name, doc, first byte) of each suffix: the text from the anchor on, then what precedes it in the context, and where that begins."""
+    loc = np.frombuffer(b"".join(data), dtype=_LOC)
+    alone = np.isin(anchor_keys(raw, loc["p"].astype(np.int64) + loc["off"]), hot).tolist() if len(hot) else [False] * len(loc)
+    for (p, n, off), every in zip(loc.tolist(), alone, strict=True):
+        if every:
+            for at in range(p, p + n):
+                yield raw[at : at + WINDOW] + bytes((_ALONE,)), doc, at
+        else:
+            here, end = p + off, p + n + WINDOW - 1
+            yield raw[here:end] + raw[p:here] + bytes((off,)), doc, p
+
+
+def _sorted_runs(buckets: int, held):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = held.value
         for run in _runs(batches):
-            earliest: dict[bytes, tuple[int, int]] = {}
+            names = sorted(x for doc, text, data in run for x in _names(doc, (text or "").encode(), data, hot))
             removed: dict[int, list[tuple[int, int]]] = {}
-            for doc, text, data in run:
-                raw = (text or "").encode()
-                for p, n, off in np.frombuffer(b"".join(data), dtype=_LOC).tolist():
-                    # the suffix that begins at the anchor, then what precedes it, and where that begins
-                    here, end = p + off, p + n + WINDOW - 1
-                    name = raw[here:end] + raw[p:here] + bytes((off,))
-                    other = earliest.setdefault(name, (doc, p))
-                    if other != (doc, p):
-                        late = max(other, (doc, p))
-                        earliest[name] = min(other, (doc, p))
-                        removed.setdefault(late[0], []).append((late[1], late[1] + n + WINDOW - 1))
-            parts: dict[int, list[bytes]] = {}
-            for name in sorted(earliest):
-                parts.setdefault(zlib.crc32(name[:ANCHOR]) % buckets, []).append(name)
-            ids, data = [], []
-            for bucket, names in parts.items():
-                item, rest, before = np.empty(len(names), dtype=_ITEM), [], b""
-                for i, name in enumerate(names):
-                    k = shared_prefix(before, name)
-                    item[i] = (*earliest[name], k, len(name) - k, name[-1])
-                    rest.append(name[k:])
-                    before = name
-                ids.append(bucket)
-                data.append(len(names).to_bytes(4, "little") + item.tobytes() + b"".join(rest))
+            parts: dict[int, tuple[list, list, bytes]] = {}
+            last: tuple[bytes, int, int] = (b"", -1, -1)
+            for name, doc, p in names:  # the earliest of equal names comes first
+                if name == last[0]:
+                    if (doc, p) != last[1:]:
+                        removed.setdefault(doc, []).append((p, p + len(name) - 1))
+                    continue
+                last = name, doc, p
+                bucket = zlib.crc32(name if name[-1] == _ALONE else name[:ANCHOR]) % buckets
+                items, rest, before = parts.get(bucket) or ([], [], b"")
+                k = shared_prefix(before, name)
+                items.append((doc, p, k, len(name) - k))
+                rest.append(name[k:])
+                parts[bucket] = items, rest, name
+            ids = list(parts)
+            data = [len(items).to_bytes(4, "little") + np.array(items, dtype=_ITEM).tobytes() + b"".join(rest) for items, rest, _ in parts.values()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "doc", "data"]
             )
@@ -215,7 +250,7 @@ def read_run(data: bytes) -> Iterator[tuple[bytes, int, int, int]]:
     n = int.from_bytes(data[:4], "little")
     item = np.frombuffer(data, dtype=_ITEM, count=n, offset=4)
     at, before = 4 + item.nbytes, b""
-    for doc, p, shared, rest, _ in item.tolist():
+    for doc, p, shared, rest in item.tolist():
         before = before[:shared] + data[at : at + rest]
         at += rest
         yield before, shared, doc, p
@@ -245,7 +280,6 @@ def merge(runs: list[Iterator[tuple[bytes, int, int, int]]]) -> Iterator[tuple[b
         return b, a
 
     loser = [0] * k
-    winner = list(range(k)) * 2
     level = list(range(k))
     base = k
     while base > 1:
@@ -256,7 +290,6 @@ def merge(runs: list[Iterator[tuple[bytes, int, int, int]]]) -> Iterator[tuple[b
             up.append(w)
         level, base = up, base // 2
     top = level[0]
-    del winner
     while head[top] is not None:
         name, _, doc, p = head[top]
         yield name, shared[top], doc, p
@@ -269,32 +302,35 @@ def merge(runs: list[Iterator[tuple[bytes, int, int, int]]]) -> Iterator[tuple[b
         top = w
 
 
-def _resolve(members: list[tuple[int, int, bytes]], mark) -> None:
-    """Marks what an earlier member of one anchor's group repeats. members: (doc, p, name)."""
-    if len(members) == 1:
-        return
-    first: set[bytes] = set()
-    distinct = []
-    for doc, p, name in sorted(members):
-        if name in first:
-            mark(doc, p, p + len(name) - 1)
-        else:
-            first.add(name)
-            off = name[-1]
-            distinct.append((doc, p, off, name[len(name) - 1 - off : -1] + name[: len(name) - 1 - off]))
-    if len(distinct) == 1:
+def _resolve(members: list[tuple[int, int, bytes, int]], mark) -> None:
+    """Marks windows that repeat an earlier one of the group.
+
+    members: (doc, first byte, name, prefix shared with the member before) of one anchor, in order of
+    names, all different. Equal windows hold the anchor at one place, so they share the WINDOW - place
+    bytes from it on, which their neighbours' prefixes tell, and the place bytes before it.
+    """
+    if len(members) < 2:
         return
-    # equal windows hold the anchor at the same place: one place at a time, so the memory is a name a member
-    for place in range(max(x[2] for x in distinct) + 1):
-        seen: set[bytes] = set()
-        for doc, p, off, context in distinct:
-            i = off - place
-            if 0 <= i <= len(context) - WINDOW:
-                window = context[i : i + WINDOW]
-                if window in seen:
-                    mark(doc, p + i, p + i + WINDOW)
-                else:
-                    seen.add(window)
+    longest = max(x[3] for x in members[1:])
+    held = [(doc, p, name[-1], len(name) - 1 - name[-1], name, shared) for doc, p, name, shared in members]
+
+    def settle(block: list[tuple[bytes, int, int]]) -> None:
+        block.sort()
+        for x, y in zip(block, block[1:], strict=False):
+            if x[0] == y[0] and x[1:] != y[1:]:
+                mark(y[1], y[2], y[2] + WINDOW)
+
+    for place in range(max(0, WINDOW - longest), max(x[2] for x in held) + 1):
+        need, block = WINDOW - place, []
+        for doc, p, off, right, name, shared in held:
+            if shared < need:
+                if len(block) > 1:
+                    settle(block)
+                block = []
+            if need <= right and place <= off:  # the context holds such a window
+                block.append((name[right + off - place : -1], doc, p + off - place))
+        if len(block) > 1:
+            settle(block)
 
 
 def _merged(group: pa.Table) -> pa.Table:
@@ -308,14 +344,30 @@ def _merged(group: pa.Table) -> pa.Table:
             marks.append(got)
     new: list[tuple[int, int, int]] = []
     mark = lambda doc, a, b: new.append((doc, a, b))
-    members: list[tuple[int, int, bytes]] = []
+    members: list[tuple[int, int, bytes, int]] = []
+    last, at, low = b"", (-1, -1), 0  # the last name, its earliest place, the prefix shared since the last member
+
+    def take() -> None:
+        nonlocal members, low
+        if last and last[-1] != _ALONE:
+            members.append((*at, last, low))
+            low = len(last)
+
     for name, shared, doc, p in merge(runs) if runs else ():
-        if shared < ANCHOR and members:
+        if shared == len(name) == len(last):
+            here = max(at, (doc, p))
+            if at != (doc, p):
+                mark(*here, here[1] + len(name) - 1)
+            at = min(at, (doc, p))
+            continue
+        take()
+        low = min(low, shared)
+        if shared < ANCHOR:
             _resolve(members, mark)
             members = []
-        members.append((doc, p, name))
-    if members:
-        _resolve(members, mark)
+        last, at = name, (doc, p)
+    take()
+    _resolve(members, mark)
     own = np.empty(len(new), dtype=_MARK)
     if new:
         d, own["begin"], own["end"] = zip(*new, strict=True)
@@ -353,20 +405,29 @@ def _cut(with_text: bool):
     return make
 
 
-def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, with_text: bool = False, hot_units: int = HOT_UNITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs, and the bytes kept if asked."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(32, min(1_000_000, size // BUCKET_BYTES))
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    # a key that is never null keeps both joins' shuffles of the texts alike, so that one is made and reused
-    d = d.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    seen = Observation()
+    told = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = d.select("doc_id", told.alias("h"), F.octet_length("text").alias("n")).observe(seen, F.sum("n").alias("bytes")).where("doc_id is not null")
+    unclear = staged(rows.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id"), "unclear")
+    size = int(seen.get["bytes"] or 0)
+    buckets = max(32, size // BUCKET_BYTES)
+    # a key that is never null and no hot one keeps both joins' shuffles of the texts alike, so that one is made and reused
+    d = d.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
     whole = d.select("doc_id", "text").where("doc_id is not null and octet_length(text) >= 100")
+    if unclear.head(1):  # a doc_id with different texts
+        whole = whole.join(unclear, "doc_id", "left_anti")
     signatures = whole.mapInArrow(_signatures(buckets), "bucket long, data binary")
-    alive = signatures.groupBy("bucket").applyInArrow(_surviving, "doc long, data binary")
-    alive = alive.groupBy("doc").agg(F.collect_list("data").alias("data"))
-    cut = d.join(alive.withColumn("doc", F.coalesce("doc", F.lit(-1))), F.col("key") == F.col("doc")).select("doc_id", "text", "data")
-    runs = cut.mapInArrow(_sorted_runs(buckets), "bucket long, doc long, data binary")
+    alive = staged(signatures.groupBy("bucket").applyInArrow(_surviving(max(hot_units, size // 1_000_000)), "doc long, data binary"), "alive")
+    hot = [r["data"] for r in alive.where("doc is null").select("data").collect()]  # two million hashes at most
+    held = docs.sparkSession.sparkContext.broadcast(np.frombuffer(b"".join(hot), dtype="<u8"))
+    alive = alive.where("doc is not null").groupBy("doc").agg(F.collect_list("data").alias("data"))
+    cut = d.where("doc_id is not null").join(alive, F.col("key") == F.col("doc")).select("doc_id", "text", "data")
+    runs = cut.mapInArrow(_sorted_runs(buckets, held), "bucket long, doc long, data binary")
     marks = runs.groupBy("bucket").applyInArrow(_merged, "doc long, data binary")
     marks = marks.groupBy("doc").agg(F.collect_list("data").alias("data"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary" if with_text else "")
-    return d.join(marks, F.col("key") == F.col("doc"), "left").select("doc_id", "text", "data").mapInArrow(_cut(with_text), out)
+    found = d.join(marks, F.col("key") == F.col("doc"), "left")
+    return found.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("data")).alias("data")).mapInArrow(_cut(with_text), out)
