@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that ends a word: space and U+0009 to U+000D (fixed by the word definition `[^\x20\x09-\x0D]+`).
 SPACES = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one key that one task may meet in a join, and how many hot keys there can be, whatever the input.
+HOT_ROWS, HOT_KEYS = 500, 100_000
+
+_U = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quillon-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -34,6 +40,37 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, facts: DataFrame, key: str, by: str, also: Column | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Inner join of rows and facts on key (and the condition also), where hot keys have their rows dealt to many tasks.
+
+    A key is hot with more rows than HOT_ROWS, or than rows / HOT_KEYS where that would be too many, so
+    their list has HOT_KEYS entries at most, whatever the input, and can be broadcast. A hot key's rows are
+    salted by the column `by`, its facts are repeated for each salt. sizes (key, rows), if known, spares counting.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")) if sizes is None else sizes
+    limit = HOT_ROWS
+    hot = sizes.where(F.col("rows") > limit).limit(HOT_KEYS + 1).collect()
+    if len(hot) > HOT_KEYS:
+        limit = max(HOT_ROWS, -(-sizes.agg(F.sum("rows")).first()[0] // HOT_KEYS))
+        hot = sizes.where(F.col("rows") > limit).collect()
+    joined = lambda r, f, on: r.join(f, on) if also is None else r.join(f, on).where(also)
+    if not hot:
+        return joined(rows, facts, key)
+    salts = F.broadcast(rows.sparkSession.createDataFrame([(r[key], -(-r["rows"] // limit)) for r in hot], f"{key} {rows.schema[key].dataType.simpleString()}, salts long"))
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(by), F.col("salts"))).otherwise(0)
+    dealt = rows.join(salts, key, "left").withColumn("salt", salt).drop("salts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1))
+    repeated = facts.join(salts, key, "left").withColumn("salt", copies).drop("salts")
+    return joined(dealt, repeated, [key, "salt"]).drop("salt")
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    """A mixing of 64-bit hashes, one to one."""
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return h ^ (h >> _U(32))
+
+
 def text_of(docs: DataFrame, name: str = "text") -> Column:
     """The text column as a string, null read as empty."""
     return F.coalesce(docs[name].cast("string"), F.lit(""))

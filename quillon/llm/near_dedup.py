@@ -7,20 +7,25 @@
 3. Candidates are verified in sequence: signatures are compared batch by batch, and a pair is dropped
    once the posterior probability that it is a link falls below the chosen miss probability.
    Survivors are verified on their full sets.
-4. Links give components. In buckets that still hold several, pairs of classes of different components
-   are candidates too, pruned and verified alike; links among them join components. Before these pairs
-   are made, classes that can't be linked there leave: a class shares at most the shingles that some
-   other class of those buckets also holds, so a text edited in many places has no partner.
+4. Links give components. Buckets that still hold several of them are open: their classes of different
+   components may be linked too. Classes that can't be leave: a class shares at most the shingles that
+   some other class of those buckets also holds, so a text edited in many places has no partner. Of the
+   rest each holds out its rarest shingles, and only classes that share one of these are compared (prefix
+   filter: two sets whose overlap is large enough share one of so many first elements in any common
+   order). This loses no link and depends on rare shingles, not on buckets. Such pairs are pruned and
+   verified alike; links among them join components.
 
 So pairs within one component are never emitted, a group of copies costs a pair a member and band,
 and no link among candidates is lost. Two texts at similarity 0.85 share no band with a probability of
 (1 - 0.85^rows)^bands, 2e-10 with the defaults.
 
-Hot groups: exact copies are joined by an aggregate with partial sums; a bucket's smallest class by
-an aggregate too; joins by class id leave hot ids to skew handling. Nothing is collected to the
-driver. Links and labels are cut with tables in the shared folder. Defined results: null, empty and
-wordless texts have no shingles and stand alone; repeated rows of an id count as one document;
-texts under five words are one shingle; extra columns are ignored.
+Hot groups: exact copies are joined by an aggregate with partial sums, a bucket's smallest class by
+an aggregate too; joins on a bucket, a class or a shingle deal a hot one's rows to many tasks
+(`common.spread`). Nothing is collected to the driver. Links and labels are cut with tables in the
+shared folder. Defined results: null, empty and wordless texts have no shingles and stand alone;
+repeated rows of an id count as one document, that of most shingles; rows of a null id are returned
+each, without a component, and kept; texts under five words are one shingle; an empty table gives no
+rows; extra columns are ignored; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -32,11 +37,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quillon.llm.common import staged
+from quillon.llm.common import mix64, spread, staged, temporary
 
 
 @dataclass(frozen=True)
@@ -49,8 +54,8 @@ class NearDup:
     #: Signature values compared at a time, and the probability at which a pair is given up.
     batch: int = 32
     miss: float = 1e-9
-    #: How often the bound on shared shingles is drawn tighter before classes of different components are paired.
-    rounds: int = 2
+    #: How often the bound on shared shingles is drawn before classes of different components are paired.
+    rounds: int = 1
     seed: int = 41
 
 
@@ -62,18 +67,6 @@ _LOWER[65:91] += 32
 _BASE = _U(0x9E3779B97F4A7C15)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return h ^ (h >> _U(32))
-
-
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 def word_hashes(raw: bytes) -> np.ndarray:
     """A hash of each word, A-Z lower-cased."""
     b = _LOWER[np.frombuffer(raw, dtype=np.uint8)]
@@ -83,9 +76,9 @@ def word_hashes(raw: bytes) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     place = np.arange(len(b)) - np.repeat(np.concatenate([[0], begin]), np.diff(np.concatenate([[0], begin, [len(b)]])))
     # each byte is mixed with its place in its word, so the sum over a word tells words apart
-    mixed = _mix((b.astype(np.uint64) << _U(32)) + place.astype(np.uint64) + _BASE)
+    mixed = mix64((b.astype(np.uint64) << _U(32)) + place.astype(np.uint64) + _BASE)
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-    return _mix(total[end] - total[begin] + (end - begin).astype(np.uint64))
+    return mix64(total[end] - total[begin] + (end - begin).astype(np.uint64))
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -96,12 +89,12 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     k = min(width, len(w))
     h = np.zeros(len(w) - k + 1, dtype=np.uint64)
     for i in range(k):
-        h = _mix(h * _BASE + w[i : i + len(h)])
+        h = mix64(h * _BASE + w[i : i + len(h)])
     return np.unique(h)
 
 
 def _seeds(n: int, seed: int) -> np.ndarray:
-    return _mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE + _U(seed)) | _U(1)
+    return mix64(np.arange(1, n + 1, dtype=np.uint64) * _BASE + _U(seed)) | _U(1)
 
 
 def signature(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -220,112 +213,136 @@ def _linked(a: Column, b: Column, setting: NearDup) -> Column:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for each id in links (a, b). Alternating star contraction."""
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    told = lambda x: tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    edges, old = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"), None
     while True:
-        # large star: larger neighbours move to the smallest of the neighbourhood
+        # large star: larger neighbours move to the smallest of the neighbourhood; a star's centre is a hot node
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread(both, low, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: smaller neighbours and the node move to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         new = staged(small.where("u <> v").distinct(), "edges")
-        old = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        edges = new
-        if tuple(old) == tuple(now):
+        now = told(new)
+        edges, before, old = new, old, now
+        if before == now:
             return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, content: DataFrame, setting: NearDup) -> DataFrame:
     """Those of pairs (a, b) that are links: signatures first, then survivors by their sets in content."""
     s = lambda side: signed.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}"))
-    alive = staged(pairs.join(s("a"), "a").join(s("b"), "b").where(_survive(F.col("sa"), F.col("sb"), setting)).select("a", "b"), "alive")
+    both = spread(spread(pairs, s("a"), "a", "b"), s("b"), "b", "a")
+    alive = staged(both.where(_survive(F.col("sa"), F.col("sb"), setting)).select("a", "b"), "alive")
     c = lambda side: content.select(F.col("id").alias(side), F.col("set").alias(f"c{side}"))
-    return alive.join(c("a"), "a").join(c("b"), "b").where(_linked(F.col("ca"), F.col("cb"), setting)).select("a", "b")
+    return spread(spread(alive, c("a"), "a", "b"), c("b"), "b", "a").where(_linked(F.col("ca"), F.col("cb"), setting)).select("a", "b")
 
 
-def _own_shingles(ids: DataFrame, content: DataFrame) -> DataFrame:
-    """(id, own): how many shingles of a class no other class of ids holds; classes with none are left out."""
+def _held_by(ids: DataFrame, content: DataFrame) -> DataFrame:
+    """(id, h): the shingles of the classes in ids."""
 
     @arrow_udf("array<long>")
     def unpack(sets: pa.Array) -> pa.Array:
         return pa.array([np.frombuffer(x.as_buffer(), dtype="<i8") for x in sets], pa.list_(pa.int64()))
 
-    held_by = content.join(ids, "id", "left_semi").select("id", F.explode(unpack("set")).alias("h"))
+    return content.join(ids, "id", "left_semi").select("id", F.explode(unpack("set")).alias("h"))
+
+
+def _own_shingles(ids: DataFrame, content: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of a class no other class of ids holds; classes with none are left out."""
     # partial minima and maxima: a shingle that every class holds is a row a task
-    single = held_by.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
+    single = _held_by(ids, content).groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
     return single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with the smallest size there if sizes are known."""
+    least = [F.min("n").alias("least")] if "n" in rows.columns else []
+    found = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), *least).where("low <> high").drop("low", "high")
+    return spread(rows, found, "bucket", "id")
+
+
 def _open_pairs(buckets: DataFrame, label: DataFrame, classes: DataFrame, content: DataFrame, setting: NearDup) -> DataFrame:
-    """Pairs (a, b) of classes of different components in one bucket that may be linked, each pair once.
+    """Pairs (a, b) of classes of different components in open buckets that may be linked, each pair once.
 
     A link of sizes n and m needs percent / (100 + percent) x (n + m) shared shingles, and sizes whose ratio is
     percent at least; both are tested on bounds that hold for every pair, so none that is linked is left out.
     """
-    placed = buckets.join(label, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("c"))
-
-    def several(rows: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold several components, with the smallest size there if sizes are known."""
-        least = [F.min("n").alias("least")] if "n" in rows.columns else []
-        found = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), *least).where("low <> high")
-        return rows.join(found.drop("low", "high"), "bucket")
-
-    able = staged(several(placed), "apart")
+    percent = F.lit(setting.percent)
+    placed = staged(buckets.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "placed")
+    able = staged(_several(placed), "apart")
     for _ in range(setting.rounds):  # shingles that only classes found unable hold count no more
         own = _own_shingles(able.select("id").distinct(), content)
         shared = (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")
-        facts = classes.join(own, "id", "left").select("id", "n", shared, "signature")
-        percent = F.lit(setting.percent)
+        sized = staged(able.select("bucket", "id", "c").join(classes.join(own, "id", "left").select("id", "n", shared), "id"), "sized")
         smallest = F.greatest(F.col("least") * 100, F.col("n") * percent)  # a partner's size, times 100
-        fit = several(able.select("bucket", "band", "id", "c").join(facts, "id")).where(
-            100 * (100 + percent) * F.col("shared") >= percent * (100 * F.col("n") + smallest)
-        )
-        able = staged(several(fit.drop("least")).drop("least"), "able")
-
-    side = lambda s: able.select("bucket", "band", *[F.col(x).alias(f"{x}_{s}") for x in ("id", "c", "n", "shared", "signature")])
-    x, y = side("a"), side("b").drop("band")
+        able = staged(_several(sized).where(100 * (100 + percent) * F.col("shared") >= percent * (100 * F.col("n") + smallest)).drop("least"), "able")
+
+    ids = staged(able.select("id", "c", "n", "shared").distinct(), "open")
+    first = staged(_rarest(ids, content, setting), "rarest")
+    # of two classes the smaller is looked up by fewer shingles: its overlap must be larger against its size
+    side = lambda s, least: first.where(F.col("rank") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select(
+        "h", *[F.col(x).alias(f"{x}_{s}") for x in ("id", "c", "n", "shared")]
+    )
+    share = setting.percent / 100
+    small, large = side("a", 2 * share / (1 + share) - 1e-9), side("b", share - 1e-9)
     n, m = F.col("n_a"), F.col("n_b")
-    fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least("shared_a", "shared_b") >= percent * (n + m))
-    width = 2 * setting.rows
-    for k in range(setting.bands - 1):  # a pair of several buckets is made in the first
-        differ = F.substring("signature_a", k * width + 1, width) != F.substring("signature_b", k * width + 1, width)
-        fits = fits & ((F.col("band") <= k) | differ)
-    return x.join(y, "bucket").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    fits = (100 * n >= percent * m) & ((100 + percent) * F.least("shared_a", "shared_b") >= percent * (n + m))
+    ordered = F.struct("n_a", "id_a") < F.struct("n_b", "id_b")
+    pairs = spread(large, small, "h", "id_b", ordered & (F.col("c_a") != F.col("c_b")) & fits)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _rarest(ids: DataFrame, content: DataFrame, setting: NearDup) -> DataFrame:
+    """(id, c, n, shared, h, rank): the shingles that two classes of ids share, by how few hold them, as far as a link can need.
+
+    rank counts the shingles that no other class holds as the first ones.
+    """
+    held_by = staged(_held_by(ids, content), "held")
+    held = held_by.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    rows = spread(held_by, held, "h", "id").join(ids, "id")
+    of_id = Window.partitionBy("id")
+    rank = F.row_number().over(of_id.orderBy("f", "h")) + F.col("n") - F.count(F.lit(1)).over(of_id)
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil((setting.percent / 100 - 1e-9) * F.col("n")) + 1)
+    return rows.select("id", "c", "n", "shared", "h", "rank")
 
 
 def groups(docs: DataFrame, setting: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per doc_id of docs."""
-    every = prints(docs, setting).groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "key", "signature"), F.struct("n_shingles", "key")).alias("x"))
+    known = docs.where(docs["doc_id"].isNotNull())
+    every = prints(known, setting).groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "key", "signature"), F.struct("n_shingles", "key")).alias("x"))
     every = staged(every.select("doc_id", "x.*"), "prints")
     # equal sets: the class's smallest id; they have equal signatures
     reps = every.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     reps = staged(reps, "classes")
-    member = every.select("doc_id", "n_shingles", "key")
 
     width = 2 * setting.rows
     band = F.explode(F.sequence(F.lit(0), F.lit(setting.bands - 1))).alias("band")
     bucket = F.xxhash64("band", F.substring("signature", F.col("band") * width + 1, F.lit(width)))
-    banded = reps.select("id", "signature", band).select("id", "band", bucket.alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = staged(banded.join(shared.select("bucket", "hub"), "bucket"), "buckets")  # only buckets of several classes
+    banded = reps.select("id", "signature", band).select("id", bucket.alias("bucket"))
+    shared = staged(banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "hubs")
+    buckets = staged(spread(banded, shared.drop("rows"), "bucket", "id", sizes=shared.select("bucket", "rows")), "buckets")  # only buckets of several classes
     signed = reps.select("id", "signature")
-    content = staged(_sets(buckets.select("id").distinct(), docs, setting), "sets")  # texts are shuffled this once
+    content = staged(_sets(buckets.select("id").distinct(), known, setting), "sets")  # texts are shuffled this once
 
     tested = staged(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = staged(_verified(tested, signed, content, setting), "links")
-    label = components(links)
+    label = staged(components(links), "labels")
     # what buckets still hold apart: classes of different components that were not compared yet
-    open_pairs = _open_pairs(buckets, label, reps.select("id", "n", "signature"), content, setting).join(tested, ["a", "b"], "left_anti")
+    open_pairs = _open_pairs(buckets, label, reps.select("id", "n"), content, setting).join(tested, ["a", "b"], "left_anti")
     new = staged(_verified(staged(open_pairs, "pairs"), signed, content, setting), "links")
     label = components(links.unionAll(new))
-    d = member.join(reps.select("key", "id"), "key", "left").join(label, "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
-    return d.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    of_key = reps.select("key", "id").join(label, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
+    linked = spread(every.where("key is not null").select("doc_id", "n_shingles", "key"), of_key, "key", "doc_id").select("doc_id", "n_shingles", "component")
+    alone = every.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    d = linked.unionAll(alone).select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    nameless = prints(docs.where(docs["doc_id"].isNull()), setting)
+    return d.unionAll(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, setting: NearDup = NearDup()) -> DataFrame:
     """docs with one document of each component: its smallest id (rows of a null id are kept)."""
-    drop = groups(docs, setting).where("not kept").select(F.col("doc_id").alias("__drop"))
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("__drop"), "left_anti")
+    name = temporary(docs, "drop")
+    drop = groups(docs, setting).where("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(drop, docs["doc_id"].cast("long") == F.col(name), "left_anti")
