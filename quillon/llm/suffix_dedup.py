@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged
+from quillon.llm.common import mix64, staged
 
 WINDOW = 100
 ANCHOR = 24
@@ -65,12 +65,6 @@ _ITEM = np.dtype([("doc", "<i8"), ("p", "<u4"), ("shared", "u1"), ("rest", "u1")
 _ALONE = 255
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return h ^ (h >> _U(32))
-
-
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[:1] = 1
@@ -92,7 +86,7 @@ def units(raw: bytes) -> tuple[np.ndarray, ...]:
         if len(b) < WINDOW:
             continue
         h = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(b * _UP[: len(b)], dtype=np.uint64)])
-        key = _mix((h[ANCHOR:] - h[:-ANCHOR]) * _DOWN[: len(b) - ANCHOR + 1])
+        key = mix64((h[ANCHOR:] - h[:-ANCHOR]) * _DOWN[: len(b) - ANCHOR + 1])
         low = _U((1 << _PLACE_BITS) - 1)
         v = (key & ~low) | np.arange(len(key), dtype=np.uint64)  # ties go to the first place
         width, m, span = WINDOW - ANCHOR + 1, v, 1
@@ -110,6 +104,15 @@ def units(raw: bytes) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _planes(rows: np.ndarray) -> bytes:
+    """Records as one row of bytes for each byte of a record: what hardly changes from record to record then compresses well."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T).tobytes()
+
+
+def _records(data, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows of the batches, cut into runs of RUN_BYTES of text."""
     run, size = [], 0
@@ -143,12 +146,12 @@ def _signatures(buckets: int):
             # 1: survives already and is only passed on; 2 + k: survives and stands for 2^k to 2^(k + 1) units of its anchor here
             s["known"] = 1
             s["known"][first] = np.where(size == 1, 0, 2 + np.log2(size).astype(int))
-            bucket = np.where(s["known"] == 1, _mix(s["doc"].astype(np.uint64)), s["key"]) % _U(buckets)
-            order = np.argsort(bucket, kind="stable")
+            bucket = np.where(s["known"] == 1, mix64(s["doc"].astype(np.uint64)), s["key"]) % _U(buckets)
+            order = np.lexsort((s["p"], s["doc"], bucket))
             s, bucket = s[order], bucket[order].astype(np.int64)
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cut[:-1]]), pa.array([s[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
+                [pa.array(bucket[cut[:-1]]), pa.array([_planes(s[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
                 names=["bucket", "data"],
             )
 
@@ -165,7 +168,7 @@ def _by_doc(doc: np.ndarray, rows: np.ndarray) -> pa.Table:
 def _surviving(hot_units: int):
     def make(group: pa.Table) -> pa.Table:
         """Places of the surviving units by document, and under a null document the anchors with too many units."""
-        s = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_SIG) for x in group.column("data")])
+        s = np.concatenate([_records(x.as_buffer(), _SIG) for x in group.column("data")])
         passed, s = s[s["known"] == 1], s[s["known"] != 1]
         s = s[np.argsort(s["key"], kind="stable")]
         first = np.flatnonzero(np.concatenate([[True], s["key"][1:] != s["key"][:-1]])) if len(s) else np.empty(0, dtype=int)
@@ -185,7 +188,7 @@ def _surviving(hot_units: int):
 def anchor_keys(raw: bytes, places: np.ndarray) -> np.ndarray:
     """The hashes of the anchors at these places, as `units` gives them."""
     b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64) + _U(1)
-    return _mix((b[places[:, None] + np.arange(ANCHOR)] * _UP[:ANCHOR]).sum(1, dtype=np.uint64))
+    return mix64((b[places[:, None] + np.arange(ANCHOR)] * _UP[:ANCHOR]).sum(1, dtype=np.uint64))
 
 
 def shared_prefix(a: bytes, b: bytes, at: int = 0) -> int:
@@ -232,7 +235,7 @@ def _sorted_runs(buckets: int, held):
                 rest.append(name[k:])
                 parts[bucket] = items, rest, name
             ids = list(parts)
-            data = [len(items).to_bytes(4, "little") + np.array(items, dtype=_ITEM).tobytes() + b"".join(rest) for items, rest, _ in parts.values()]
+            data = [write_run(items, rest) for items, rest, _ in parts.values()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "doc", "data"]
             )
@@ -245,13 +248,19 @@ def _sorted_runs(buckets: int, held):
     return make
 
 
+def write_run(items: list[tuple[int, int, int, int]], rest: list[bytes]) -> bytes:
+    """A front-coded run: (doc, p, shared prefix, length of the rest) of each name, then what they don't share, compressed."""
+    raw = _planes(np.array(items, dtype=_ITEM)) + b"".join(rest)
+    return len(items).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
 def read_run(data: bytes) -> Iterator[tuple[bytes, int, int, int]]:
     """(name, shared prefix with the one before, doc, p) of a front-coded run."""
-    n = int.from_bytes(data[:4], "little")
-    item = np.frombuffer(data, dtype=_ITEM, count=n, offset=4)
-    at, before = 4 + item.nbytes, b""
-    for doc, p, shared, rest in item.tolist():
-        before = before[:shared] + data[at : at + rest]
+    n, size = (int.from_bytes(data[i : i + 4], "little") for i in (0, 4))
+    raw = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    at, before = n * _ITEM.itemsize, b""
+    for doc, p, shared, rest in _records(raw[:at], _ITEM).tolist():
+        before = before[:shared] + raw[at : at + rest]
         at += rest
         yield before, shared, doc, p
 
