@@ -39,8 +39,9 @@ class Mixture:
     passes: int = 3
     block_words: int = 64
     shard_slots: int = 4096
-    #: Chunks of a source's order, and shards summed at a time: a window holds so many rows, or a chunk.
+    #: Chunks of a source's order, and how many chunks or shards are summed at a time: a window holds so many rows, or a chunk.
     chunks: int = 1 << 14
+    chunk_group: int = 128
     shard_group: int = 1024
     #: Cells of the unit interval in which a draw looks up its source.
     cells: int = 1024
@@ -96,6 +97,16 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return step(odd, c, d)
 
 
+def _sum_before(rows: DataFrame, order: str, group: int, value: str, out: str) -> DataFrame:
+    """rows (s, order, value) with the sum of value over the smaller orders of the same s, by sums of two levels."""
+    rows = rows.withColumn("group", F.floor(F.col(order) / group))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = rows.groupBy("s", "group").agg(F.sum(value).alias("all"))
+    heads = heads.select("s", "group", before("all", Window.partitionBy("s").orderBy("group")).alias("head"))
+    inside = rows.withColumn("inside", before(value, Window.partitionBy("s", "group").orderBy(order)))
+    return inside.join(heads, ["s", "group"]).withColumn(out, F.col("head") + F.col("inside")).drop("group", "head", "inside")
+
+
 def draw(docs: DataFrame, mix: Mixture = Mixture()) -> tuple[DataFrame, DataFrame]:
     """(documents, slots).
 
@@ -114,8 +125,7 @@ def draw(docs: DataFrame, mix: Mixture = Mixture()) -> tuple[DataFrame, DataFram
     sizes = totals.groupBy("s", "source").agg(F.sum("chunk_size").alias("source_size"))
     plan = targets(sizes.select("source", "source_size"), mix)
     plan = staged(plan.withColumn("s", key.cast("struct<n:boolean,v:string>")).drop("source"), "plan")  # a row a source
-    before = F.sum("chunk_size").over(Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    heads = totals.select("s", "chunk", F.coalesce(before, F.lit(0)).alias("chunk_start")).join(plan, "s")
+    heads = _sum_before(totals.select("s", "chunk", "chunk_size"), "chunk", mix.chunk_group, "chunk_size", "chunk_start").drop("chunk_size").join(plan, "s")
     inner = F.sum("size").over(
         Window.partitionBy("s", "chunk").orderBy(F.xxhash64("doc_id", F.lit(mix.seed + 1)), "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -164,12 +174,7 @@ def _slots(plan: DataFrame, mix: Mixture) -> DataFrame:
     )
 
     # a source's slots are numbered over the shards by sums of two levels
-    group = F.floor(F.col("shard") / mix.shard_group)
-    grid = counts.withColumn("group", group)
-    heads = grid.groupBy("s", "group").agg(F.sum("n").alias("group_n"))
-    heads = heads.select("s", "group", F.coalesce(F.sum("group_n").over(Window.partitionBy("s").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("head"))
-    run = F.sum("n").over(Window.partitionBy("s", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    grid = grid.withColumn("run", F.coalesce(run, F.lit(0))).join(heads, ["s", "group"]).withColumn("first", F.col("head") + F.col("run"))
+    grid = _sum_before(counts, "shard", mix.shard_group, "n", "first")
     in_shard = F.sum("n").over(Window.partitionBy("shard").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
     grid = grid.withColumn("slot", F.coalesce(in_shard, F.lit(0))).select("s", "shard", "n", "first", "slot").join(even.drop("due", "lack", "lack_from"), "s")
     grid = grid.repartition(partitions, "s", "shard")  # a source's slots are made by as many tasks as it has shards
