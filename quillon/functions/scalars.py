@@ -52,7 +52,10 @@ registry.spark_sql(
 )
 registry.spark_sql("fn_hashes", "part", "SELECT p_partkey, md5(p_name) AS m, sha2(p_name, 256) AS s FROM {part}", "SELECT p_partkey, md5(p_name) AS m, sha256(p_name) AS s FROM part")
 registry.spark_sql(
-    "text_exact_dedup", "documents", "SELECT min(doc_id) AS doc_id, md5(text) AS h, CAST(count(*) AS BIGINT) AS copies FROM {documents} GROUP BY text",
+    "text_exact_dedup", "documents",
+    # digests and lengths are shuffled, not texts
+    "SELECT min(doc_id) AS doc_id, min(m) AS h, CAST(count(*) AS BIGINT) AS copies FROM (SELECT doc_id, md5(text) AS m, sha2(text, 256) AS d, length(text) AS n FROM {documents}) GROUP BY d, n",
+    "SELECT min(doc_id) AS doc_id, md5(text) AS h, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY text",
 )
 registry.spark_sql(
     "text_strip_tags", "pages", "SELECT page_id, md5(regexp_replace(html, '<[^>]*>', '')) AS h FROM {pages}", "SELECT page_id, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS h FROM pages",
@@ -61,3 +64,36 @@ registry.spark_sql(
     "vector_norms", "embeddings", "SELECT vec_id, label, round(sqrt(aggregate(embedding, CAST(0 AS DOUBLE), (a, x) -> a + CAST(x AS DOUBLE) * x)), 4) AS norm FROM {embeddings}",
     "SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS norm FROM embeddings",
 )
+registry.spark_sql(
+    "fn_url_parts", "pages",
+    "SELECT page_id, parse_url(url, 'PROTOCOL') AS protocol, parse_url(url, 'PATH') AS path, coalesce(parse_url(url, 'QUERY'), '') AS query, coalesce(parse_url(url, 'REF'), '') AS ref FROM {pages}",
+    """SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS protocol, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path,
+              regexp_extract(url, '[?]([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS ref FROM pages""",
+)
+registry.spark_sql(
+    "fn_arrays_more", "embeddings",
+    """SELECT vec_id, CAST(size(array_distinct(transform(embedding, x -> floor(x * 10)))) AS BIGINT) AS d, element_at(sort_array(embedding), 1) AS lo,
+              element_at(sort_array(embedding, false), 1) AS hi, round(element_at(transform(embedding, x -> CAST(x AS DOUBLE) * 2), 3), 4) AS third,
+              CAST(size(array_union(slice(embedding, 1, 4), slice(embedding, 3, 4))) AS BIGINT) AS u, exists(embedding, x -> x > 0) AS some FROM {embeddings}""",
+    """SELECT vec_id, CAST(len(list_distinct(list_transform(embedding, lambda x: floor(x * 10)))) AS BIGINT) AS d, list_min(embedding) AS lo, list_max(embedding) AS hi,
+              round(CAST(embedding[3] AS DOUBLE) * 2, 4) AS third, CAST(len(list_distinct(list_concat(embedding[1:4], embedding[3:6]))) AS BIGINT) AS u,
+              len(list_filter(embedding, lambda x: x > 0)) > 0 AS some FROM embeddings""",
+)
+registry.spark_sql(
+    "fn_json_more", "events", """SELECT event_id, j.c0 AS k, to_json(named_struct('k', CAST(get_json_object(props, '$.k') AS INT), 't', event_type)) AS o FROM {events} LATERAL VIEW json_tuple(props, 'k') j AS c0""",
+    """SELECT event_id, json_extract_string(props, '$.k') AS k, '{"k":' || json_extract_string(props, '$.k') || ',"t":"' || event_type || '"}' AS o FROM events""",
+)
+registry.spark_sql(
+    "fn_maps_more", "nation",
+    """SELECT n_nationkey, array_join(map_values(map_from_entries(array(named_struct('k', 'a', 'v', n_name), named_struct('k', 'b', 'v', upper(n_name))))), '/') AS vs,
+              transform_values(map('a', n_nationkey), (k, v) -> v * 2)['a'] AS twice, map_zip_with(map('a', n_nationkey), map('a', n_regionkey), (k, x, y) -> x + y)['a'] AS both,
+              array_join(map_keys(transform_keys(map('a', 1), (k, v) -> upper(k))), '') AS ks FROM {nation}""",
+    "SELECT n_nationkey, n_name || '/' || upper(n_name) AS vs, n_nationkey * 2 AS twice, n_nationkey + n_regionkey AS \"both\", 'A' AS ks FROM nation",
+)
+registry.spark_sql(
+    "fn_hashes_more", "part",
+    # crc32 by its published check value; xxhash64 by what any hash must do
+    """SELECT p_partkey, crc32(CAST('123456789' AS BINARY)) AS check_value, crc32(CAST(p_name AS BINARY)) BETWEEN 0 AND 4294967295 AS unsigned,
+              xxhash64(p_name, p_size) = xxhash64(concat(p_name, ''), p_size) AS repeats, xxhash64(p_name, 1) <> xxhash64(p_name, 2) AS differs, hash(p_name) = hash(p_name) AS murmur FROM {part}""",
+    "SELECT p_partkey, CAST(3421780262 AS BIGINT) AS check_value, true AS \"unsigned\", true AS repeats, true AS differs, true AS murmur FROM part",
+)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf, udf, udtf
+from pyspark.sql.functions import arrow_udf, pandas_udf, udf, udtf
 
 from quillon.plans.registry import Registry
 from quillon.session import table
@@ -17,6 +19,7 @@ registry = Registry()
 
 @registry.query("SELECT p_partkey, p_size * 2 + 1 AS y FROM part")
 def udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row-at-a-time form, here for its surface alone: `udf_pandas` and `udf_arrow` take whole batches."""
     return table(spark, sf_dir, "part").select("p_partkey", udf(lambda x: x * 2 + 1, "int")("p_size").alias("y"))
 
 
@@ -29,6 +32,25 @@ def udf_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", twice("p_retailprice").alias("y"))
 
 
+@registry.query("SELECT p_partkey, p_size * 3 AS y FROM part")
+def udf_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @arrow_udf("int")
+    def triple(x: pa.Array) -> pa.Array:
+        return pc.multiply(x, pa.scalar(3, x.type))
+
+    return table(spark, sf_dir, "part").select("p_partkey", triple("p_size").alias("y"))
+
+
+@registry.query("SELECT o_orderkey, o_totalprice / 2 AS half FROM orders WHERE o_totalprice <= 100000")
+def map_arrow_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def cheap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            x = x.filter(pc.less_equal(x.column("o_totalprice"), 100000.0))
+            yield pa.RecordBatch.from_arrays([x.column("o_orderkey"), pc.divide(x.column("o_totalprice"), 2.0)], names=["o_orderkey", "half"])
+
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").mapInArrow(cheap, "o_orderkey long, half double")
+
+
 @registry.query("SELECT p_type, round(avg(p_retailprice), 6) AS m FROM part GROUP BY p_type")
 def udf_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     @pandas_udf("double")

@@ -73,6 +73,21 @@ def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+registry.spark_sql(
+    "agg_sketches_checked", "lineitem",
+    # each sketch against the exact value: whether the error lies within the sketch's bound
+    """SELECT l_returnflag, abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS hyperloglog,
+              abs(hll_sketch_estimate(hll_sketch_agg(l_suppkey)) - count(DISTINCT l_suppkey)) <= 0.1 * count(DISTINCT l_suppkey) + 1 AS hll,
+              abs(theta_sketch_estimate(theta_sketch_agg(l_partkey)) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) + 1 AS theta,
+              abs(percentile_approx(l_quantity, 0.5) - percentile(l_quantity, 0.5)) <= 1 AS quantile,
+              abs(kll_sketch_get_quantile_bigint(kll_sketch_agg_bigint(CAST(l_quantity AS BIGINT)), 0.5) - percentile(l_quantity, 0.5)) <= 3 AS kll,
+              size(approx_top_k(l_linenumber, 3)) = 3 AS top_k, octet_length(count_min_sketch(l_partkey, 0.01D, 0.95D, 7)) > 0 AS count_min,
+              size(histogram_numeric(l_quantity, 5)) <= 5 AS histogram FROM {lineitem} GROUP BY l_returnflag""",
+    """SELECT l_returnflag, true AS hyperloglog, true AS hll, true AS theta, true AS quantile, true AS kll, true AS top_k, true AS count_min, true AS histogram
+       FROM lineitem GROUP BY l_returnflag""",
+)
+
+
 @registry.query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def agg_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two steps for hot keys when what is aggregated cannot be combined early: by key and salt, then by key."""

@@ -23,8 +23,8 @@ registry.spark_sql(
     "SELECT l_orderkey, l_linenumber, k, v FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) UNPIVOT (v FOR k IN (l_discount, l_tax))",
 )
 registry.spark_sql(
-    "explode_positions", "embeddings", "SELECT vec_id, CAST(pos AS BIGINT) AS pos, x FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, x WHERE vec_id < 100",
-    "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS pos, unnest(embedding) AS x FROM embeddings WHERE vec_id < 100",
+    "explode_positions", "embeddings", "SELECT vec_id, CAST(pos AS BIGINT) AS pos, x FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, x",
+    "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS pos, unnest(embedding) AS x FROM embeddings",
 )
 registry.spark_sql("stack_rows", "region", "SELECT r_regionkey, stack(2, 'key', CAST(r_regionkey AS STRING), 'name', r_name) AS (k, v) FROM {region}", "SELECT r_regionkey, 'key' AS k, CAST(r_regionkey AS VARCHAR) AS v FROM region UNION ALL SELECT r_regionkey, 'name', r_name FROM region")
 registry.spark_sql(
@@ -34,6 +34,15 @@ registry.spark_sql(
     "pipe_syntax", "orders", "FROM {orders} |> WHERE o_totalprice > 100000 |> AGGREGATE count(*) AS n GROUP BY o_orderstatus",
     "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus",
 )
+registry.spark_sql(
+    "explode_outer_rows", "nation", "SELECT n_nationkey, explode_outer(CASE WHEN n_regionkey > 1 THEN array(n_regionkey, n_regionkey * 10) END) AS x FROM {nation}",
+    "SELECT n_nationkey, unnest(CASE WHEN n_regionkey > 1 THEN [n_regionkey, n_regionkey * 10] ELSE [NULL] END) AS x FROM nation",
+)
+registry.spark_sql(
+    "inline_rows", "nation", "SELECT n_nationkey, inline(array(struct(n_name AS v, 1 AS i), struct(upper(n_name) AS v, 2 AS i))) FROM {nation}",
+    "SELECT n_nationkey, n_name AS v, 1 AS i FROM nation UNION ALL SELECT n_nationkey, upper(n_name), 2 FROM nation",
+)
+registry.spark_sql("sort_global", "orders", "SELECT o_orderkey, o_orderdate, o_totalprice FROM {orders} ORDER BY o_orderdate, o_totalprice DESC, o_orderkey")
 registry.spark_sql("top_k", "orders", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 registry.spark_sql("limit_offset", "orders", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 for name, op in (("union_all", "UNION ALL"), ("union_distinct", "UNION"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
@@ -59,6 +68,27 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").sample(fraction=0.1, seed=7)
 
 
+@registry.query("SELECT true AS within, true AS no_repeats, true AS share_close")
+def sample_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for any sample of a tenth: its rows are the table's, none comes twice, and the share lies within six deviations."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    drawn = sample_rows(spark, sf_dir).select("o_orderkey", F.lit(1).alias("hit"))
+    both = orders.withColumn("row", F.lit(1)).join(drawn, "o_orderkey", "full").groupBy("o_orderkey").agg(F.sum("row").alias("rows"), F.sum("hit").alias("hits"))
+    n, k = F.sum(F.coalesce("rows", F.lit(0))), F.sum(F.coalesce("hits", F.lit(0)))
+    share = F.abs(k - 0.1 * n) <= 6 * F.sqrt(0.09 * n) + 1
+    return both.agg(F.bool_and(F.col("rows").isNotNull()).alias("within"), F.bool_and(F.coalesce("hits", F.lit(0)) <= F.col("rows")).alias("no_repeats"), share.alias("share_close"))
+
+
+@registry.query("SELECT s_suppkey AS supplier, s_name AS s_title, s_nationkey FROM supplier")
+def rename_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").withColumnsRenamed({"s_suppkey": "supplier", "s_name": "s_title"}).drop("s_acctbal")
+
+
+@registry.query("SELECT CAST(i AS BIGINT) AS k, CAST(i * i AS BIGINT) AS square FROM range(0, 5000, 7) t(i)")
+def range_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(0, 5000, 7).selectExpr("id AS k", "id * id AS square")
+
+
 @registry.query("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F'")
 def sort_within_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey").repartition("o_custkey").sortWithinPartitions("o_custkey", "o_orderkey")

@@ -42,6 +42,25 @@ registry.spark_sql(
 )
 
 
+registry.spark_sql(
+    "window_groups_frame", "orders",
+    # a frame of groups of equal dates is a range over their ranks
+    """SELECT o_orderkey, CAST(sum(o_custkey) OVER (PARTITION BY o_custkey ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s
+       FROM (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS g FROM {orders}) x""",
+    "SELECT o_orderkey, CAST(sum(o_custkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders",
+)
+registry.spark_sql(
+    "window_exclude_current", "orders",
+    # EXCLUDE CURRENT ROW: the two frames beside the row
+    """SELECT o_orderkey, count(*) OVER before + count(*) OVER after AS n,
+              greatest(max(o_totalprice) OVER before, max(o_totalprice) OVER after) AS high FROM {orders}
+       WINDOW before AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+              after AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)""",
+    """SELECT o_orderkey, count(*) OVER w AS n, max(o_totalprice) OVER w AS high FROM orders
+       WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW)""",
+)
+
+
 @registry.query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
 def window_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))

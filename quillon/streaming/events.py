@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -58,6 +59,38 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
+class Totals(StatefulProcessor):
+    """A user's events so far, in a value state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n = (self.seen.get()[0] if self.seen.exists() else 0) + sum(map(len, rows))
+        self.seen.update((n,))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def running_counts(events: DataFrame) -> DataFrame:
+    """As `running_totals`, by transformWithState: needs the RocksDB state store (`ROCKSDB` as the session's provider class)."""
+    return events.groupBy("user_id").transformWithStateInPandas(Totals(), "user_id long, n long", "Update", "None")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def each_batch(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run a stream over what is there, each batch into a folder of its own: a batch that is run again replaces its folder."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there into an in-memory table, for small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
