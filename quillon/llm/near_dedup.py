@@ -55,7 +55,7 @@ class NearDup:
     batch: int = 32
     miss: float = 1e-9
     #: How often the bound on shared shingles is drawn before classes of different components are paired.
-    rounds: int = 1
+    rounds: int = 2
     seed: int = 41
 
 
