@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,6 +97,11 @@ def temporary(docs: DataFrame, stem: str) -> str:
     return name
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def held(df: DataFrame, *keys: str) -> DataFrame:
     """df with its other columns computed in one place, once a row.
 

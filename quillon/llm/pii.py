@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import held, temporary, text_of
+from quillon.llm.common import bound, held, temporary, text_of
 
 # The base expressions. Possessive forms and looks behind match the same spans as the
 # plain ones, but need time in proportion to the text.
@@ -74,11 +74,6 @@ def luhn(s: Column) -> Column:
     return total % 10 == 0
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is evaluated once however often body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
     """For each of values (longs) what combine makes of 0 and all before it, and one more for all of them.
 
@@ -91,7 +86,7 @@ def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Col
 
     def made(blocks: Column) -> Column:
         heads = F.aggregate(blocks, F.array(zero), lambda x, b: F.concat(x, F.array(F.aggregate(b, last(x), combine))))
-        return _bound(
+        return bound(
             F.struct(blocks.alias("b"), heads.alias("h")),
             lambda x: F.concat(
                 F.flatten(F.transform(x["b"], lambda b, k: F.slice(F.aggregate(b, F.array(F.get(x["h"], k)), grown), 1, F.size(b)))), F.array(last(x["h"]))
@@ -99,8 +94,8 @@ def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Col
         )
 
     count = F.ceil(F.size(values) / F.lit(_BLOCK)).cast("int")
-    cut = _bound(values, lambda v: F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(v, k * _BLOCK + 1, _BLOCK)))
-    return F.when(F.size(values) > 0, _bound(cut, made)).otherwise(F.array(zero))
+    cut = bound(values, lambda v: F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(v, k * _BLOCK + 1, _BLOCK)))
+    return F.when(F.size(values) > 0, bound(cut, made)).otherwise(F.array(zero))
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -110,7 +105,7 @@ def _located(text: Column, pattern: str) -> Column:
     before: the last characters between this match and the one before it.
     """
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = _bound(
+    pairs = bound(
         F.struct(between.alias("b"), found.alias("m")),
         lambda x: F.zip_with(F.slice(x["b"], 1, F.size(x["m"])), x["m"], lambda b, m: F.struct(F.length(b).alias("n"), F.right(b, F.lit(CONTEXT)).alias("before"), m.alias("s"))),
     )
@@ -119,7 +114,7 @@ def _located(text: Column, pattern: str) -> Column:
         at = _running(F.transform(p, lambda x: (x["n"] + F.length(x["s"])).cast("long")), lambda a, v: a + v)
         return F.zip_with(p, F.slice(at, 1, F.size(p)), lambda x, a: F.struct((a + x["n"]).cast("int").alias("start"), x["s"].alias("s"), x["before"].alias("before")))
 
-    return _bound(pairs, placed)
+    return bound(pairs, placed)
 
 
 def _spans(found: Column, kind: str, *also: str) -> Column:
@@ -335,10 +330,10 @@ def with_spans(docs: DataFrame, out: str) -> DataFrame:
 
     def chosen(x: Column) -> Column:
         f = F.struct(*[v.alias(k) for k, v in features(x, x["before"]).items()])
-        return _bound(f, lambda f: score(trees, f)) >= F.element_at(least, x["kind"])
+        return bound(f, lambda f: score(trees, f)) >= F.element_at(least, x["kind"])
 
     added = F.transform(F.filter(extra, chosen), lambda x: F.struct(*[x[c].alias(c) for c in ("start", "rank", "end", "kind", "s")]))
-    spans = F.when(F.size(extra) == 0, F.sort_array(base)).otherwise(_bound(F.sort_array(F.concat(F.col(base), added)), _without_covered))
+    spans = F.when(F.size(extra) == 0, F.sort_array(base)).otherwise(bound(F.sort_array(F.concat(F.col(base), added)), _without_covered))
     return d.withColumn(out, spans).drop(text, base, extra)
 
 
@@ -346,7 +341,7 @@ def _without_covered(spans: Column) -> Column:
     """Sorted spans without added ones that lie within one base span: these stand for them."""
     is_base = lambda x: x["rank"] < len(KINDS)
     reach = _running(F.transform(spans, lambda x: F.when(is_base(x), x["end"]).otherwise(0).cast("long")), lambda a, v: F.greatest(a, v))
-    kept = _bound(
+    kept = bound(
         F.arrays_zip(spans.alias("s"), F.slice(reach, 1, F.size(spans)).alias("to")), lambda z: F.transform(F.filter(z, lambda y: is_base(y["s"]) | (y["s"]["end"] > y["to"])), lambda y: y["s"])
     )
     return F.when(F.exists(spans, is_base), kept).otherwise(spans)
@@ -387,5 +382,5 @@ def redact(docs: DataFrame) -> DataFrame:
     ends = _running(F.transform(name, lambda x: x["end"].cast("long")), lambda a, v: F.greatest(a, v))
     chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), 0)
     whole = F.struct(F.col(name).alias("spans"), ends.alias("ends"), chunks.alias("chunks"), F.length(text).cast("long").alias("n"))
-    new = F.when(F.size(name) > 0, _bound(whole, replaced)).otherwise(F.col("text"))
+    new = F.when(F.size(name) > 0, bound(whole, replaced)).otherwise(F.col("text"))
     return d.select(*[F.coalesce(F.length(new).cast("long"), F.lit(0).cast("long")).alias(c) if c == "n_chars" else new.alias(c) if c == "text" else F.col(c) for c in docs.columns])
