@@ -7,7 +7,9 @@ derives times from granule positions.
 
 One pass of Arrow batches, no shuffle; a task holds a few documents' bytes. Defined results: a null
 text is empty and gives 192 spaces; equal texts give equal files; repeated rows and extra columns
-make no difference. A damaged file raises `OggError`.
+make no difference; rows of a null id are described like others; an empty table gives no rows; texts of any
+length are written whole. A damaged file raises `OggError`. A packet's end is the granule position of its
+page, less the samples of later packets that end there too.
 """
 
 from __future__ import annotations
@@ -163,15 +165,19 @@ def payload(media: bytes) -> tuple[bytes, list[tuple[float, float]]]:
     if (bits, channels) != (8, 1):
         raise OggError("unknown sample form")
     data = b"".join(x for x, _ in body)
-    times, at = [], 0
-    for (packet, granule), (entry, _) in zip(body, streams[INDEX][1:], strict=True):
-        if struct.unpack("<QI", entry) != (at, len(packet)) or granule not in (UNFINISHED, at + len(packet)):
-            raise OggError("the index or a granule position disagrees with the samples")
-        times.append((at / rate, (at + len(packet)) / rate))
-        at += len(packet)
-    if at != n:
-        raise OggError("samples are missing")
-    return data, times
+    times, to = [], UNFINISHED
+    for packet, granule in reversed(body):
+        # a granule position is the end of the last packet that ends on its page; packets before it end where the next begins
+        if granule != UNFINISHED and to not in (UNFINISHED, granule):
+            raise OggError("a granule position disagrees with the samples after it")
+        to = granule if granule != UNFINISHED else to
+        times.append((to - len(packet), to))
+        to -= len(packet)
+    times.reverse()
+    index = [struct.unpack("<QI", x) for x, _ in streams[INDEX][1:]]
+    if (times[0][0], times[-1][1], len(data)) != (0, n, n) or index != [(a, b - a) for a, b in times]:
+        raise OggError("samples are missing, or the index or a granule position disagrees with them")
+    return data, [(a / rate, b / rate) for a, b in times]
 
 
 def features(data: bytes, times: list[tuple[float, float]]) -> str:
