@@ -1,13 +1,13 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed word unigrams and bigrams are counted: one of target text (the
-labelled documents of good quality), one of all raw text. A document's weight is the mean log ratio
-of its n-grams under the two models; adding Gumbel noise, drawn from a hash of its doc_id, and taking the
+labelled documents of good quality), one of all raw text. A document's weight is the ratio of the
+two models: the sum of its n-grams' log ratios; adding Gumbel noise, drawn from a hash of its doc_id, and taking the
 k largest draws k documents without replacement with probability in proportion to their weight.
 
 Counting is a sum of fixed-length vectors, one a task; the models have a fixed size. The k-th largest
 key is found by radix selection over counts, so nothing is sorted or collected whatever k is. Defined
-results: a null or empty text has weight 0; ties at the threshold are drawn by the hash of doc_id
+results: a null or empty text has log ratio 0; rows of a null id share their noise; ties at the threshold are drawn by the hash of doc_id
 and are all kept if that too is equal (repeated rows); an empty table gives no rows.
 """
 
@@ -33,8 +33,8 @@ class Resampling:
     prior: float = 1.0
     #: Scale of the Gumbel noise against the summed log ratio; 1 is exact importance resampling.
     temperature: float = 1.0
-    #: At most so many n-grams a document count toward the sum: beyond, it is the mean times this.
-    sharpness: float = 40.0
+    #: N-grams a document that count toward the sum: beyond so many it is the mean times this. Without bound it is the models' log ratio itself.
+    sharpness: float = math.inf
     seed: int = 17
 
 
