@@ -10,9 +10,10 @@
 4. A logistic regression on the entries learns the posterior labels of a bounded sample of documents.
 
 Held-out rows never lend their labels. lang, source and doc_id are no inputs of a score. Scoring is
-one pass over the texts with a model of fixed size: no shuffle. Defined results: null and empty
-texts score as a document without entries; repeated rows score alike; labels without a document,
-null labels and extra columns are ignored; without any toxic training label the seeds stand alone.
+one pass over the texts with a model of fixed size, or over the entries that the votes found: no shuffle. Defined results: null and empty
+texts score as a document without entries; repeated rows score alike; rows of a null id are scored and
+not held out; a doc_id labelled both ways counts as toxic; an empty table gives no rows; texts of any
+length are read whole; labels without a document, null labels and extra columns are ignored; without any toxic training label the seeds stand alone.
 """
 
 from __future__ import annotations
@@ -76,12 +77,18 @@ def grams(text: str, beginnings: tuple[int, ...]) -> set[str]:
     return found
 
 
+def _training_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the rows to learn from; a doc_id that is labelled both ways counts as toxic."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def mine(docs: DataFrame, labels: DataFrame, setting: Settings) -> list[str]:
     """Entries that set toxic training rows apart, most telling first."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = _training_labels(labels)
     order = F.xxhash64("doc_id", F.lit(5))
     part = lambda toxic, n: known.where(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(n).select("doc_id", "toxic")
-    chosen = part(1, setting.toxic_rows).unionAll(part(0, setting.clean_rows)).dropDuplicates(["doc_id"])
+    chosen = part(1, setting.toxic_rows).unionAll(part(0, setting.clean_rows))
     of = {r["doc_id"]: int(r["toxic"]) for r in chosen.collect()}  # toxic_rows + clean_rows at most
     if not of:
         return []
@@ -219,6 +226,19 @@ def fit_classifier(rows: list[list[int]], target: np.ndarray, n: int, rounds: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, setting: Settings = Settings()) -> Model:
+    return _fit(docs, labels, setting)[0]
+
+
+def fitted_scores(docs: DataFrame, labels: DataFrame, setting: Settings = Settings()) -> DataFrame:
+    """`scores` of docs by the model that `fit` makes of them, from the entries that its votes have found: texts are read once."""
+    model, seen = _fit(docs, labels, setting)
+    weights = F.array(*[F.lit(float(x)) for x in model.weights])
+    z = F.aggregate("found", F.lit(model.bias), lambda a, i: a + F.get(weights, i))
+    return _shown(seen.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(50.0)), F.lit(-50.0))))).alias("score")), setting.threshold)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, setting: Settings) -> tuple[Model, DataFrame]:
+    """The model, and (doc_id, found, bits) of each row: the places of the entries it holds, and its votes."""
     mined = mine(docs, labels, setting)
     entries = list(dict.fromkeys([*mined, *(f"={x}" for x in SEEDS), *(f"~{x}" for x in PATTERNS)]))
     voter_of = deal(entries, setting.voters)
@@ -235,11 +255,10 @@ def fit(docs: DataFrame, labels: DataFrame, setting: Settings = Settings()) -> M
 
     d = docs.select(docs["text"].cast("string").alias("text"), docs["doc_id"].cast("long").alias("doc_id"))
     seen = staged(d.mapInArrow(votes, "doc_id long, found array<int>, bits long"), "votes")  # a few bytes a document
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    voted = seen.select("doc_id", "bits").join(known, "doc_id", "left")
+    voted = seen.select("doc_id", "bits").join(_training_labels(labels), "doc_id", "left")
     tally = voted.groupBy("bits").pivot("toxic", [0, 1]).count().join(seen.groupBy("bits").count(), "bits").na.fill(0).collect()  # 2^voters rows at most
     if not tally:
-        return Model(entries, np.full(len(entries), 6.0), -3.0, voter_of, beginnings=beginnings)
+        return Model(entries, np.full(len(entries), 6.0), -3.0, voter_of, beginnings=beginnings), seen
     bits = np.array([r["bits"] for r in tally])
     patterns = ((bits[:, None] >> np.arange(voters)) & 1).astype(float)
     counts = np.array([[r["count"] - r["0"] - r["1"], r["0"], r["1"]] for r in tally], dtype=float)
@@ -247,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, setting: Settings = Settings()) -> M
     sample = seen.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "bits").limit(setting.classifier_rows).collect()
     soft = posterior(np.array([[r["bits"] >> v & 1 for v in range(voters)] for r in sample], dtype=float), rates, share)
     weights, bias = fit_classifier([r["found"] for r in sample], soft, len(entries))
-    return Model(entries, weights, bias, voter_of, rates, share, beginnings)
+    return Model(entries, weights, bias, voter_of, rates, share, beginnings), seen
 
 
 def score_column(docs: DataFrame, model: Model) -> Column:
@@ -267,7 +286,10 @@ def score_column(docs: DataFrame, model: Model) -> Column:
 
 def scores(docs: DataFrame, model: Model, threshold: float = Settings.threshold) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
-    d = docs.select("doc_id", score_column(docs, model).alias("score"))
+    return _shown(docs.select("doc_id", score_column(docs, model).alias("score")), threshold)
+
+
+def _shown(d: DataFrame, threshold: float) -> DataFrame:
     return d.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
