@@ -5,7 +5,8 @@ are removed, and a document that loses too much of its text is rejected. Everyth
 within the row, so there is no shuffle and no state that grows with the corpus.
 
 Defined results: a null text counts as empty (0 words, base_failed, kept false); repeated rows
-are judged one by one; extra columns are ignored by `quality_report` and left alone by `clean`.
+and rows of a null id are judged one by one; an empty table gives no rows; lines and texts of any
+length are judged whole; extra columns are ignored by `quality_report` and left alone by `clean`.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ class LineRules:
     #: Menu separators (| › » · •) and doubled punctuation (!! ?? ## %% && ** $$) a word, above which a line fails.
     separators_per_word: float = 0.3
     marks_per_word: float = 0.4
+    #: A line with more words is no boilerplate line, as it says something besides the phrase.
+    boilerplate_words: int = 12
     #: Share of a document's non-space characters that may be lost.
     max_lost: float = 0.5
     #: Base conditions.
@@ -71,10 +74,10 @@ def with_lines(d: DataFrame, text: str, out: str, rules: LineRules) -> DataFrame
 
     def verdict(x: Column) -> Column:
         n = x["long"] - x["solid"] + 1
-        punctuation = (n < rules.unpunctuated_words) & ~F.right(x["bare"], F.lit(6)).rlike(TERMINAL)
-        menu = F.when(x["long"] <= 40, F.lower(x["bare"]).rlike(rf"^(?:{MENU})[ .>»|]*$")).otherwise(F.lit(False))
+        punctuation = (n < rules.unpunctuated_words) & ~x["bare"].rlike(TERMINAL)
+        menu = x["bare"].rlike(rf"^(?i:{MENU})[ .>»|]*$")
         navigation = (x["separators"] > rules.separators_per_word * n) | menu
-        phrase = F.when(n <= 12, F.lower(x["bare"]).rlike(BOILERPLATE)).otherwise(F.lit(False))
+        phrase = F.when(n <= rules.boilerplate_words, F.lower(x["bare"]).rlike(BOILERPLATE)).otherwise(F.lit(False))
         boilerplate = (x["marks"] > rules.marks_per_word * n) | phrase
         return (x["solid"] > 0) & (punctuation | navigation | boilerplate)
 
