@@ -61,7 +61,7 @@ def closed(found, hours):
 
 def test_session_stream(spark, folder):
     batch = {tuple(r) for r in ev.sessions(spark.read.parquet(folder)).collect()}
-    got = {tuple(r) for r in ev.drain(ev.sessions(ev.source(spark, folder)), "t_sessions").collect()}
+    got = {tuple(r) for r in ev.drain(ev.sessions(ev.source(spark, folder, 100)), "t_sessions").collect()}
     gone = closed(spark.read.parquet(folder), 12)  # no session here lasts so long
     want = {r for r in batch if gone(r[1])}
     assert len(want) > 100 and want <= got <= batch
@@ -70,7 +70,8 @@ def test_session_stream(spark, folder):
 def test_sliding_stream(spark, folder):
     batch = {tuple(r) for r in ev.sliding(spark.read.parquet(folder)).collect()}
     got = {tuple(r) for r in ev.drain(ev.sliding(ev.source(spark, folder, 100)), "t_sliding").collect()}
-    want = {r for r in batch if closed(spark.read.parquet(folder), 1)(r[0])}
+    gone = closed(spark.read.parquet(folder), 1)
+    want = {r for r in batch if gone(r[0])}
     assert len(want) > 100 and want <= got <= batch
 
 
@@ -96,7 +97,7 @@ def test_late_rows_are_dropped(spark, tmp_path):
     path = str(tmp_path / "late")
     row = lambda i, at: (i, at, 1, "click", 1.0, "{}")
     noon = datetime(2024, 1, 1, 12)
-    for batch in ([row(1, noon), row(2, noon + timedelta(hours=5))], [row(3, noon), row(4, noon + timedelta(hours=9))], [row(5, noon + timedelta(hours=12))]):
+    for batch in ([row(1, noon), row(2, noon + timedelta(hours=5))], [row(4, noon + timedelta(hours=9))], [row(3, noon)], [row(5, noon + timedelta(hours=12))]):
         spark.createDataFrame(batch, ev.SCHEMA).coalesce(1).write.mode("append").parquet(path)
     got = {tuple(r) for r in ev.drain(ev.tumbling(ev.source(spark, path, 1)), "t_late").collect()}
     assert (noon, "click", 1) in got  # row 3 came behind the watermark
