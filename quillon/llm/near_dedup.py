@@ -272,6 +272,8 @@ def _open_pairs(buckets: DataFrame, label: DataFrame, classes: DataFrame, conten
     percent = F.lit(setting.percent)
     placed = staged(buckets.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "placed")
     able = staged(_several(placed), "apart")
+    if able.isEmpty():  # no bucket is open
+        return able.sparkSession.createDataFrame([], "a long, b long")
     for _ in range(setting.rounds):  # shingles that only classes found unable hold count no more
         own = _own_shingles(able.select("id").distinct(), content)
         shared = (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")
@@ -332,7 +334,8 @@ def groups(docs: DataFrame, setting: NearDup = NearDup()) -> DataFrame:
     # what buckets still hold apart: classes of different components that were not compared yet
     open_pairs = _open_pairs(buckets, label, reps.select("id", "n"), content, setting).join(tested, ["a", "b"], "left_anti")
     new = staged(_verified(staged(open_pairs, "pairs"), signed, content, setting), "links")
-    label = components(links.unionAll(new))
+    if not new.isEmpty():  # the components so far are stars already, so few rounds are left
+        label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(new))
     of_key = reps.select("key", "id").join(label, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     linked = spread(every.where("key is not null").select("doc_id", "n_shingles", "key"), of_key, "key", "doc_id").select("doc_id", "n_shingles", "component")
     alone = every.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
