@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import mix64, staged
@@ -417,11 +417,11 @@ def _cut(with_text: bool):
 def dedup(docs: DataFrame, with_text: bool = False, hot_units: int = HOT_UNITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs, and the bytes kept if asked."""
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    seen = Observation()
     told = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = d.select("doc_id", told.alias("h"), F.octet_length("text").alias("n")).observe(seen, F.sum("n").alias("bytes")).where("doc_id is not null")
-    unclear = staged(rows.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id"), "unclear")
-    size = int(seen.get["bytes"] or 0)
+    rows = d.select("doc_id", told.alias("h"), F.octet_length("text").alias("n")).where("doc_id is not null")
+    rows = staged(rows.groupBy("doc_id").agg((F.min("h") != F.max("h")).alias("differ"), F.sum("n").alias("n")), "sizes")
+    unclear = rows.where("differ").select("doc_id")
+    size = int(rows.agg(F.sum("n")).first()[0] or 0)
     buckets = max(32, size // BUCKET_BYTES)
     # a key that is never null and no hot one keeps both joins' shuffles of the texts alike, so that one is made and reused
     d = d.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
