@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import importance_sampling, license_scan, mixing, near_dedup, ogg_media, packing, pii, quality_rules, suffix_dedup, toxicity
+from quillon.llm import importance_sampling, license_scan, mixing, near_dedup, ogg_media, packing, periodic_runs, pii, quality_rules, simhash_dedup, suffix_dedup, toxicity
 from quillon.llm.common import table
 
 #: Share of documents that importance resampling keeps.
@@ -56,10 +56,18 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sampling.resample(docs, table(spark, sf_dir, "labels"), RESAMPLED_SHARE)
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules, op2_toxicity, op3_suffix_dedup, op4_license_scan, op5_pii, op6_near_dedup, op7_packing, op8_mixing,
-        op9_ogg_media, op10_importance_resampling,
+        op9_ogg_media, op10_importance_resampling, op11_simhash_dedup, op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
