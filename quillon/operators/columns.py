@@ -1,8 +1,11 @@
-"""Names for columns that an operator adds and drops again."""
+"""Names for columns that an operator adds and drops again, and expressions that are evaluated once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def temporary(stem: str, *frames: DataFrame) -> str:
@@ -12,3 +15,8 @@ def temporary(stem: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quillon.functions import scalars, user_defined
-from quillon.operators import aggregates, joins, reshaping, windows
+from quillon.operators import aggregates, containment, joins, quantiles, ranking, reshaping, windows
 from quillon.plans.registry import Registry
 
-MODULES = (joins, aggregates, windows, reshaping, scalars, user_defined)
+MODULES = (joins, aggregates, windows, reshaping, scalars, user_defined, containment, quantiles, ranking)
 
 
 def _all() -> Registry:
