@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import importance_sampling, license_scan, mixing, near_dedup, ogg_media, packing, periodic_runs, pii, quality_rules, simhash_dedup, suffix_dedup, toxicity
+from quillon.llm import (
+    conversation_trie, importance_sampling, license_scan, mixing, near_dedup, ogg_media, packing, periodic_runs, pii, quality_rules, simhash_dedup, suffix_dedup, toxicity,
+)
 from quillon.llm.common import table
 
 #: Share of documents that importance resampling keeps.
@@ -60,6 +62,10 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(table(spark, sf_dir, "documents"))
 
@@ -67,7 +73,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules, op2_toxicity, op3_suffix_dedup, op4_license_scan, op5_pii, op6_near_dedup, op7_packing, op8_mixing,
-        op9_ogg_media, op10_importance_resampling, op11_simhash_dedup, op13_periodic_runs,
+        op9_ogg_media, op10_importance_resampling, op11_simhash_dedup, op12_conversation_trie,
+        op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
@@ -110,9 +117,51 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(root) AS component_id FROM c GROUP BY id) m ON m.id = d.doc_id"""
 
 
+#: The unsigned CRC-32 of a number's decimal digits, bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(8 * length(CAST({0} AS VARCHAR))), lambda k: (ord(CAST({0} AS VARCHAR)[k // 8 + 1]) >> (k % 8)) & 1)),
+           lambda c, b: xor(c >> 1, CASE WHEN (xor(c, b) & 1) = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""
+
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), digest) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id AS c, count(*) AS n, {CRC.format("conv_id")} % 9 AS h, conv_id - conv_id % 5 AS p FROM t GROUP BY conv_id),
+b AS (SELECT k.c, k.n, k.h, k.p, least(k.h, coalesce(q.n, 0)) AS lent FROM k LEFT JOIN k q ON q.c = k.p),
+r AS (SELECT b.c, t.pos, t.digest, strlen(t.text) AS bytes FROM b JOIN t ON t.conv_id = b.p AND t.pos <= b.lent
+      UNION ALL SELECT b.c, t.pos - b.h + b.lent, t.digest, strlen(t.text) FROM b JOIN t ON t.conv_id = b.c AND t.pos > b.h),
+l AS (SELECT c, lent + greatest(n - h, 0) AS len FROM b),
+f AS (SELECT c, pos AS d, bytes, string_agg(digest, '') OVER (PARTITION BY c ORDER BY pos) AS prefix FROM r UNION ALL SELECT c, 0, 0, '' FROM l),
+e AS (SELECT prefix, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM f JOIN l USING (c) WHERE d = len GROUP BY prefix),
+n AS (SELECT prefix, min(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes FROM f GROUP BY prefix),
+o AS (SELECT left(prefix, length(prefix) - 64) AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN o USING (prefix)),
+s AS (SELECT u.prefix, sum((v.n_convs - 1) * v.bytes) AS saved_tokens, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves FROM x v JOIN f u ON u.c = v.conv_id AND u.d <= v.depth GROUP BY u.prefix)
+SELECT CAST(x.conv_id AS BIGINT) AS conv_id, CAST(x.depth AS BIGINT) AS depth, CAST(up.conv_id AS BIGINT) AS parent_conv_id, CAST(x.n_convs AS BIGINT) AS n_convs,
+       CAST(x.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM x JOIN s USING (prefix) LEFT JOIN n up ON x.depth > 0 AND up.prefix = left(x.prefix, length(x.prefix) - 64) LEFT JOIN e ON e.prefix = x.prefix"""
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("coalesce(text, '')")} AS w, {CRC.format("doc_id")} AS h FROM documents),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM a),
+t AS (SELECT r, doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM p),
+i AS (SELECT r, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS word FROM t),
+g AS (SELECT r, n, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS g FROM i WINDOW o AS (PARTITION BY r ORDER BY i)),
+-- places where three words come again q words on, and stretches of them: shorter ones can't be runs
+m AS (SELECT x.r, y.i - x.i AS q, x.i FROM g x JOIN g y ON x.r = y.r AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+b AS (SELECT r, q, min(i) AS start, count(*) + q + 2 AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m) GROUP BY r, q, island),
+runs AS (SELECT * FROM b WHERE length >= greatest(6, 4 * q) QUALIFY row_number() OVER (PARTITION BY r, start, length ORDER BY q) = 1),
+gone AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM runs),
+c AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM i ANTI JOIN gone USING (r, i) GROUP BY r),
+s AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS told FROM runs GROUP BY r),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / q DESC, start, q) = 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(q AS BIGINT) AS period, CAST(1000 * length // q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN s USING (r) LEFT JOIN best USING (r) LEFT JOIN c USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the results that it can give whole. The others have columns that a trained model, a codec, a digest of
 
     bytes or a pseudorandom draw decides, and are tested against brute force in tests/llm.
     """
-    return {"op1_quality_rules": OP1_SQL, "op6_near_dedup": OP6_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op6_near_dedup": OP6_SQL, "op12_conversation_trie": OP12_SQL, "op13_periodic_runs": OP13_SQL}
