@@ -41,12 +41,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(rows: DataFrame, facts: DataFrame, key: str, by: str, also: Column | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def spread(rows: DataFrame, facts: DataFrame, key: str, by: str, also: Column | None = None, sizes: DataFrame | None = None, merge: bool = False) -> DataFrame:
     """Inner join of rows and facts on key (and the condition also), where hot keys have their rows dealt to many tasks.
 
     A key is hot with more rows than HOT_ROWS, or than rows / HOT_KEYS where that would be too many, so
     their list has HOT_KEYS entries at most, whatever the input, and can be broadcast. A hot key's rows are
     salted by the column `by`, its facts are repeated for each salt. sizes (key, rows), if known, spares counting.
+    merge: rows are shuffled at every size, instead of where facts are too many to be sent to them.
     """
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")) if sizes is None else sizes
     limit = HOT_ROWS
@@ -54,7 +55,8 @@ def spread(rows: DataFrame, facts: DataFrame, key: str, by: str, also: Column |
     if len(hot) > HOT_KEYS:
         limit = max(HOT_ROWS, -(-sizes.agg(F.sum("rows")).first()[0] // HOT_KEYS))
         hot = sizes.where(F.col("rows") > limit).collect()
-    joined = lambda r, f, on: r.join(f, on) if also is None else r.join(f, on).where(also)
+    both = lambda r, f, on: (r.hint("merge") if merge else r).join(f, on)
+    joined = lambda r, f, on: both(r, f, on) if also is None else both(r, f, on).where(also)
     if not hot:
         return joined(rows, facts, key)
     salts = F.broadcast(rows.sparkSession.createDataFrame([(r[key], -(-r["rows"] // limit)) for r in hot], f"{key} {rows.schema[key].dataType.simpleString()}, salts long"))

@@ -132,7 +132,7 @@ def _links(variants: DataFrame, level: int, setting: SimHash) -> DataFrame:
     many = sizes.where("rows > 2").select("key", "rows")
     if many.isEmpty():
         return two
-    rows = staged(spread(variants, many.withColumnRenamed("rows", "n"), "key", "fp", sizes=many), "buckets")
+    rows = staged(spread(variants, many.withColumnRenamed("rows", "n"), "key", "fp", sizes=many, merge=True), "buckets")
     links = two.unionAll(_forests(rows.where(F.col("n") <= setting.bucket).select("key", "fp")))
     large = rows.where(F.col("n") > setting.bucket).select("key", "fp")
     return links if large.isEmpty() else links.unionAll(_links(_variants(large, level + 1), level + 1, setting))
