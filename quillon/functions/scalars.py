@@ -90,10 +90,14 @@ registry.spark_sql(
               array_join(map_keys(transform_keys(map('a', 1), (k, v) -> upper(k))), '') AS ks FROM {nation}""",
     "SELECT n_nationkey, n_name || '/' || upper(n_name) AS vs, n_nationkey * 2 AS twice, n_nationkey + n_regionkey AS \"both\", 'A' AS ks FROM nation",
 )
+#: The unsigned CRC-32 of a text's bytes (here ASCII), bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(8 * length(p_name)), lambda k: (ord(p_name[k // 8 + 1]) >> (k % 8)) & 1)),
+              lambda c, b: xor(c >> 1, CASE WHEN (xor(c, b) & 1) = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""
 registry.spark_sql(
     "fn_hashes_more", "part",
-    # crc32 by its published check value; xxhash64 by what any hash must do
-    """SELECT p_partkey, crc32(CAST('123456789' AS BINARY)) AS check_value, crc32(CAST(p_name AS BINARY)) BETWEEN 0 AND 4294967295 AS unsigned,
-              xxhash64(p_name, p_size) = xxhash64(concat(p_name, ''), p_size) AS repeats, xxhash64(p_name, 1) <> xxhash64(p_name, 2) AS differs, hash(p_name) = hash(p_name) AS murmur FROM {part}""",
-    "SELECT p_partkey, CAST(3421780262 AS BIGINT) AS check_value, true AS \"unsigned\", true AS repeats, true AS differs, true AS murmur FROM part",
+    # xxhash64 and murmur3 by the values that Spark's documentation gives
+    """SELECT p_partkey, crc32(CAST(p_name AS BINARY)) AS crc, sha1(p_name) AS sha, xxhash64('Spark', array(123), 2) AS xx, hash('Spark', array(123), 2) AS murmur,
+              hex(p_name) AS digits, base64(CAST(p_name AS BINARY)) AS letters FROM {part}""",
+    f"""SELECT p_partkey, {_CRC} AS crc, sha1(p_name) AS sha, CAST(5602566077635097486 AS BIGINT) AS xx, CAST(-1321691492 AS INTEGER) AS murmur,
+               hex(p_name) AS digits, base64(encode(p_name)) AS letters FROM part""",
 )

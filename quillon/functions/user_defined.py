@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf, udf, udtf
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType, TimestampNTZType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from quillon.plans.registry import Registry
 from quillon.session import table
@@ -81,6 +84,48 @@ def udtf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT r_regionkey, t.y FROM {region}, LATERAL multiples(r_regionkey) t", region=table(spark, sf_dir, "region"))
 
 
+@udtf
+class Sessionize:
+    """Sessions of the rows of a table, by time: TABLE(events) PARTITION BY user_id ORDER BY ts, gap in minutes.
+
+    An event up to a gap after the last one belongs to its session. A partition's rows come one by one and only the open session is held, so a partition may be of any size.
+    """
+
+    @staticmethod
+    def analyze(row: AnalyzeArgument, gap: AnalyzeArgument) -> AnalyzeResult:
+        if not row.isTable or not isinstance(gap.dataType, IntegralType):
+            raise ValueError("a table and a whole number of minutes are needed")
+        if missing := {"user_id", "ts"} - set(row.dataType.names):
+            raise ValueError(f"the table lacks {sorted(missing)}")
+        return AnalyzeResult(StructType([StructField("user_id", LongType()), StructField("start", TimestampNTZType()), StructField("n", LongType())]))
+
+    def __init__(self) -> None:
+        self.user = self.start = self.last = None
+        self.n = 0
+
+    def eval(self, row: Row, gap: int) -> Iterator[tuple]:
+        if self.n and row["ts"] > self.last + timedelta(minutes=gap):
+            yield self.user, self.start, self.n
+            self.n = 0
+        if not self.n:
+            self.user, self.start = row["user_id"], row["ts"]
+        self.last, self.n = row["ts"], self.n + 1
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.n:
+            yield self.user, self.start, self.n
+
+
+@registry.query(
+    """SELECT user_id, min(ts) AS start, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s
+       FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"""
+)
+def udtf_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.udtf.register("sessionize", Sessionize)
+    events = table(spark, sf_dir, "events").select("user_id", "ts")
+    return spark.sql("SELECT * FROM sessionize(row => TABLE({events}) PARTITION BY user_id ORDER BY ts, gap => 30)", events=events)
+
+
 @registry.query("SELECT p_partkey, round(p_retailprice - avg(p_retailprice) OVER (PARTITION BY p_type), 4) AS d FROM part")
 def udf_grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     def centre(x: pd.DataFrame) -> pd.DataFrame:

@@ -81,13 +81,23 @@ registry.spark_sql(
               abs(theta_sketch_estimate(theta_sketch_agg(l_partkey)) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) + 1 AS theta,
               abs(percentile_approx(l_quantity, 0.5) - percentile(l_quantity, 0.5)) <= 1 AS quantile,
               abs(kll_sketch_get_quantile_bigint(kll_sketch_agg_bigint(CAST(l_quantity AS BIGINT)), 0.5) - percentile(l_quantity, 0.5)) <= 3 AS kll,
-              size(approx_top_k(l_linenumber, 3)) = 3 AS top_k, octet_length(count_min_sketch(l_partkey, 0.01D, 0.95D, 7)) > 0 AS count_min,
-              size(histogram_numeric(l_quantity, 5)) <= 5 AS histogram FROM {lineitem} GROUP BY l_returnflag""",
-    """SELECT l_returnflag, true AS hyperloglog, true AS hll, true AS theta, true AS quantile, true AS kll, true AS top_k, true AS count_min, true AS histogram
+              transform(approx_top_k(l_linenumber, 3), x -> x.count) = slice(sort_array(array(count_if(l_linenumber = 1), count_if(l_linenumber = 2), count_if(l_linenumber = 3),
+                count_if(l_linenumber = 4), count_if(l_linenumber = 5), count_if(l_linenumber = 6), count_if(l_linenumber = 7)), false), 1, 3) AS top_k,
+              aggregate(histogram_numeric(l_quantity, 5), 0D, (a, b) -> a + b.y) = count(*) AND
+                abs(aggregate(histogram_numeric(l_quantity, 5), 0D, (a, b) -> a + b.x * b.y) / count(*) - avg(l_quantity)) < 1e-6 AS histogram FROM {lineitem} GROUP BY l_returnflag""",
+    """SELECT l_returnflag, true AS hyperloglog, true AS hll, true AS theta, true AS quantile, true AS kll, true AS top_k, true AS histogram
        FROM lineitem GROUP BY l_returnflag""",
 )
 
 
+registry.spark_sql(
+    "agg_regression", "lineitem",
+    """SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
+              round(regr_r2(l_extendedprice, l_quantity), 8) AS r2, round(covar_pop(l_extendedprice, l_quantity), 2) AS cov, round(regr_sxx(l_extendedprice, l_quantity), 2) AS sxx,
+              round(regr_avgy(l_extendedprice, l_quantity), 4) AS mean, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM {lineitem} GROUP BY l_returnflag""",
+)
+
+
 @registry.query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def agg_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two steps for hot keys when what is aggregated cannot be combined early: by key and salt, then by key."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quillon.operators.columns import temporary
 from quillon.plans.registry import Registry
@@ -42,7 +43,7 @@ registry.spark_sql("join_theta", "nation region", "SELECT n_nationkey, r_regionk
 registry.spark_sql("join_cross", "nation region", "SELECT n_name, r_name FROM {nation} CROSS JOIN {region}")
 registry.spark_sql("not_in_with_null", "nation supplier", "SELECT count(*) AS n FROM {nation} WHERE n_nationkey NOT IN (SELECT nullif(s_nationkey, 3) FROM {supplier} WHERE s_acctbal < 9000)")
 # the strategy is named by a hint; the results are those of the plain join
-for hint, condition in (("merge", "l_orderkey = o_orderkey"), ("shuffle_hash", "l_orderkey = o_orderkey"), ("broadcast", "l_orderkey = o_orderkey")):
+for hint, condition in (("merge", "l_orderkey = o_orderkey"), ("shuffle_hash", "l_orderkey = o_orderkey")):
     registry.spark_sql(
         f"join_hint_{hint}", "lineitem orders",
         f"SELECT /*+ {hint}(o) */ l.l_orderkey, l.l_linenumber, o.o_custkey FROM {{lineitem}} l JOIN {{orders}} o ON {condition} WHERE l_quantity > 40",
@@ -52,6 +53,21 @@ registry.spark_sql(
     "join_hint_nested_loop", "nation region", "SELECT /*+ shuffle_replicate_nl(r) */ n.n_nationkey, r.r_regionkey FROM {nation} n JOIN {region} r ON n.n_regionkey > r.r_regionkey",
     "SELECT n.n_nationkey, r.r_regionkey FROM nation n JOIN region r ON n.n_regionkey > r.r_regionkey",
 )
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has `most` rows or fewer, which is looked up first; otherwise Spark chooses."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+@registry.query("SELECT l.l_orderkey, l.l_linenumber, o.o_custkey FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey WHERE l_quantity > 40 AND o_totalprice > 450000")
+def join_hint_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A broadcast behind a check of its size."""
+    orders = table(spark, sf_dir, "orders").where("o_totalprice > 450000").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select("l_orderkey", "l_linenumber")
+    return lines.join(small(orders), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+
+
 # a click is dealt to its two-hour cell and the next, so a user's events meet by cell and not all with all
 _CELL = "timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) DIV 2"
 registry.spark_sql(
@@ -80,13 +96,15 @@ def as_of(left: DataFrame, right: DataFrame, by: str, on: str, value: str, out:
 
     Both sides are stacked and a running last value is carried forward within a key's span of time, and
     from span to span by a second, short window; so a hot key is as many tasks as it has spans. Null keys
-    and times match nothing: such rows of left keep a null. Of right rows of one time the largest value counts.
+    and times match nothing: such rows of left keep a null. A right row of a null value is a match as any other and
+    gives null. Of right rows of one time the largest value counts, null being the smallest.
     """
     side, cell, own, carried = (temporary(x, left, right) for x in ("side", "cell", "own", "carried"))
     columns = [F.col(c) for c in left.columns]
     clear = F.col(by).isNotNull() & F.col(on).isNotNull()
-    none = F.lit(None).cast(right.schema[value].dataType)
-    known = right.where(clear & F.col(value).isNotNull()).select(by, on, F.col(value).alias(own), F.lit(0).alias(side))
+    kind = right.schema[value].dataType
+    none = F.lit(None).cast(StructType([StructField("v", kind)]))  # a struct tells a null value from no match
+    known = right.where(clear).select(by, on, F.struct(F.col(value).alias("v")).alias(own), F.lit(0).alias(side))
     stacked = left.where(clear).withColumn(own, none).withColumn(side, F.lit(1)).unionByName(known, allowMissingColumns=True)
     stacked = stacked.withColumn(cell, F.date_trunc(span, on))
     last = stacked.groupBy(by, cell).agg(F.max_by(own, F.when(F.col(own).isNotNull(), F.struct(on, own))).alias(carried))
@@ -94,8 +112,8 @@ def as_of(left: DataFrame, right: DataFrame, by: str, on: str, value: str, out:
     last = last.withColumn(carried, F.last(carried, ignorenulls=True).over(earlier))
     before = Window.partitionBy(by, cell).orderBy(on, side, own).rowsBetween(Window.unboundedPreceding, 0)
     found = stacked.withColumn(own, F.last(own, ignorenulls=True).over(before)).where(F.col(side) == 1).join(last, [by, cell])
-    matched = found.select(*columns, F.coalesce(own, carried).alias(out))
-    return matched.unionAll(left.where(~clear).select(*columns, none.alias(out)))
+    matched = found.select(*columns, F.coalesce(own, carried)["v"].alias(out))
+    return matched.unionAll(left.where(~clear).select(*columns, F.lit(None).cast(kind).alias(out)))
 
 
 @registry.query(

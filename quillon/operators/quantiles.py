@@ -36,7 +36,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: Mappin
     """by and a column for each of wanted: name -> ("cont" or "disc", share), as percentile_cont and percentile_disc define them.
 
     The value is taken as a double (integers are exact up to 2^53). Nulls are left out, NaN counts as the greatest value,
-    a group without values gives no row, a null key is a group of its own.
+    a group without values gives no row (without `by`: one of nulls), a null key is a group of its own.
     """
     for kind, share in wanted.values():
         if kind not in ("cont", "disc") or not 0 <= share <= 1:
@@ -96,3 +96,14 @@ def quantiles_of_a_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = {"price": ("cont", 0.5), "high": ("disc", 0.9), "low": ("cont", 0.01)}
     found = exact_quantiles(table(spark, sf_dir, "lineitem"), [], "l_extendedprice", wanted)
     return found.withColumns({c: F.round(c, 6) for c in ("price", "low")})
+
+
+@registry.query(
+    """SELECT source, round(median(n_chars), 6) AS med, round(percentile_cont(0.1) WITHIN GROUP (ORDER BY n_chars), 6) AS low,
+              CAST(percentile_disc(0.99) WITHIN GROUP (ORDER BY n_chars) AS DOUBLE) AS high FROM documents GROUP BY source"""
+)
+def quantiles_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of texts by source, of which one may hold a third of all."""
+    wanted = {"med": ("cont", 0.5), "low": ("cont", 0.1), "high": ("disc", 0.99)}
+    found = exact_quantiles(table(spark, sf_dir, "documents"), ["source"], "n_chars", wanted)
+    return found.withColumns({c: F.round(c, 6) for c in ("med", "low")})

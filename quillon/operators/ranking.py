@@ -97,3 +97,16 @@ def ranks_of_large_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbers_of_large_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     return numbered(events, ["event_type"], ["value", "event_id"], "place", descending=["value"]).drop("value")
+
+
+@registry.query(
+    """SELECT doc_id, row_number() OVER (w ORDER BY n_chars, doc_id) AS row_number, rank() OVER (w ORDER BY n_chars) AS rank, dense_rank() OVER (w ORDER BY n_chars) AS dense_rank,
+              round(percent_rank() OVER (w ORDER BY n_chars), 8) AS percent_rank, round(cume_dist() OVER (w ORDER BY n_chars), 8) AS cume_dist,
+              ntile(100) OVER (w ORDER BY n_chars, doc_id) AS ntile FROM documents WINDOW w AS (PARTITION BY source)"""
+)
+def ranks_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by length within their source, of which one may hold a third of all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    found = ranked(docs, ["source"], ["n_chars"], ["doc_id"], 100)
+    rounded = [F.round(c, 8).alias(c) for c in ("percent_rank", "cume_dist")]
+    return found.select("doc_id", "row_number", "rank", "dense_rank", *rounded, "ntile")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.functions import scalars, user_defined
-from quillon.operators import aggregates, containment, joins, quantiles, ranking, reshaping, windows
+from quillon.functions import html, scalars, user_defined
+from quillon.operators import aggregates, containment, joins, quantiles, ranking, reshaping, sketches, vectors, windows
 from quillon.plans.registry import Registry
+from quillon.sources import buckets, sqlite
+from quillon.streaming import timers
 
-MODULES = (joins, aggregates, windows, reshaping, scalars, user_defined, containment, quantiles, ranking)
+MODULES = (joins, aggregates, windows, reshaping, scalars, user_defined, containment, quantiles, ranking, vectors, sketches, html, sqlite, buckets, timers)
 
 
 def _all() -> Registry:
