@@ -1,9 +1,12 @@
 """Toxicity by weak supervision.
 
-1. Lexicon entries (whole words and word beginnings) are mined from a bounded sample of labelled
-   training rows, and a few seed words and patterns are added.
-2. Entries are dealt to voters; each votes "toxic" where one of its entries occurs. How often each
-   pattern of votes occurs is counted over all documents (2^voters patterns at most).
+1. Lexicon entries (whole words, word beginnings, and beginnings that several distinct words of a text share)
+   are mined from a bounded sample of labelled training rows, and a few seed words and patterns are added. Of the
+   very many candidates some go with toxic rows by chance: entries are taken as far as the share of chance entries
+   among them is expected to be `chance` at most (Benjamini and Hochberg's rule on a bound of the binomial tail).
+2. Entries are dealt to voters by their make, as words, beginnings and repeated beginnings tell differently
+   much; each votes "toxic" where one of its entries occurs. How often each pattern of votes occurs is counted over
+   all documents (2^voters patterns at most).
 3. A generative label model is fitted to these counts by expectation maximisation: each voter's
    rates among toxic and clean documents, the share of toxic ones, and correlations: voters that
    agree beyond what the label explains share their weight.
@@ -32,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quillon.llm.common import staged, temporary
+
 # Seed entries that vote wherever they occur as words.
 SEEDS = (
     "idiot", "idiots", "moron", "scum", "stupid", "pathetic", "worthless", "disgusting", "loser", "bastard", "imbecile",
@@ -56,11 +61,17 @@ class Settings:
     entries: int = 160
     least_rows: int = 3
     least_log_odds: float = 3.0
-    beginnings: tuple[int, ...] = (4, 5, 6)
+    #: Expected share of entries that are there by chance.
+    chance: float = 0.1
+    #: Lengths of word beginnings, and how many distinct words share one.
+    beginnings: tuple[int, ...] = (4, 5, 6, 7)
+    repeats: tuple[int, ...] = (1, 2, 3, 4)
+    #: Eight at least.
     voters: int = 12
     #: Bound of the sample that the classifier learns from.
     classifier_rows: int = 20_000
     rounds: int = 60
+    ridge: float = 0.3
     threshold: float = 0.7
 
 
@@ -68,12 +79,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def grams(text: str, beginnings: tuple[int, ...]) -> set[str]:
-    """Distinct lower-cased words (`=word`) and word beginnings (`begin-`)."""
+def grams(text: str, beginnings: tuple[int, ...], repeats: tuple[int, ...]) -> set[str]:
+    """Distinct lower-cased words (`=word`) and beginnings that so many of them share (`begin-1`, `begin-2`, ...)."""
     words = set(_WORD.findall(text.lower()))
     found = {f"={w}" for w in words}
     for n in beginnings:
-        found.update(f"{w[:n]}-" for w in words if len(w) > n)
+        shared = Counter(w[:n] for w in words if len(w) > n)
+        found.update(f"{b}-{m}" for b, k in shared.items() for m in repeats if k >= m)
     return found
 
 
@@ -93,14 +105,14 @@ def mine(docs: DataFrame, labels: DataFrame, setting: Settings) -> list[str]:
     if not of:
         return []
     ids = docs.sparkSession.createDataFrame(list(of.items()), "doc_id long, toxic int")
-    beginnings = setting.beginnings
+    beginnings, repeats = setting.beginnings, setting.repeats
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         rows = [0, 0]
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[toxic].update(grams(text or "", beginnings))
+                seen[toxic].update(grams(text or "", beginnings, repeats))
                 rows[toxic] += 1
         keys = ["", *{*seen[0], *seen[1]}]
         seen[0][""], seen[1][""] = rows
@@ -110,16 +122,21 @@ def mine(docs: DataFrame, labels: DataFrame, setting: Settings) -> list[str]:
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     d = d.join(F.broadcast(ids), "doc_id").select("text", "toxic")
     counts = d.mapInArrow(count, "gram string, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    counts = counts.where((F.col("t") >= setting.least_rows) | (F.col("gram") == ""))
+    counts = staged(counts, "grams")
     total = {r["gram"]: (r["t"], r["c"]) for r in counts.where("gram = ''").collect()}.get("", (0, 0))
+    tried = counts.count() - 1
     if not total[0]:
         return []
     odds = F.log((F.col("t") + 0.5) / (total[0] + 1.0)) - F.log((F.col("c") + 0.5) / (total[1] + 1.0))
+    base, n = total[0] / (total[0] + total[1] + 1.0), F.col("t") + F.col("c")
+    # log of a bound on the probability of so many toxic rows among those that hold the entry, if it told nothing
+    tail = -F.col("t") * F.log(F.col("t") / n / base) - F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / n / (1 - base))).otherwise(0.0)
     best = (
-        counts.where("gram <> ''").where(odds >= setting.least_log_odds)
-        .orderBy((odds * F.col("t")).desc(), "gram").limit(setting.entries)
+        counts.where((F.col("gram") != "") & (F.col("t") >= setting.least_rows)).where(odds >= setting.least_log_odds)
+        .select("gram", tail.alias("tail")).orderBy("tail", "gram").limit(setting.entries).collect()
     )
-    return [r["gram"] for r in best.collect()]
+    sure = [i + 1 for i, r in enumerate(best) if r["tail"] <= math.log(setting.chance * (i + 1) / tried)]
+    return [r["gram"] for r in best[: max(sure, default=0)]]
 
 
 @dataclass
@@ -131,30 +148,47 @@ class Model:
     #: Of each voter: its firing rate among toxic and clean documents, and the power it votes with.
     rates: np.ndarray = field(default_factory=lambda: np.empty((0, 3)))
     share: float = 0.1
-    beginnings: tuple[int, ...] = (4, 5, 6)
 
 
 class Matcher:
-    def __init__(self, entries: list[str], beginnings: tuple[int, ...]):
+    """The places of the entries that a text holds."""
+
+    def __init__(self, entries: list[str]):
         self.place = {x: i for i, x in enumerate(entries)}
         self.words = {x[1:]: i for x, i in self.place.items() if x[0] == "="}
-        self.begin = {n: {x[:-1]: i for x, i in self.place.items() if x[0] != "=" and x[-1] == "-" and len(x) == n + 1} for n in beginnings}
         self.patterns = [(i, re.compile(x[1:])) for x, i in self.place.items() if x[0] == "~"]
+        #: By length: beginning -> (words that must share it, place).
+        self.begin: dict[int, dict[str, list[tuple[int, int]]]] = {}
+        for x, i in self.place.items():
+            if x[0] not in "=~":
+                start, _, least = x.rpartition("-")
+                self.begin.setdefault(len(start), {}).setdefault(start, []).append((int(least), i))
+        self.least = min(self.begin, default=0)
+        self.first = {b[: self.least] for known in self.begin.values() for b in known}
 
     def __call__(self, text: str | None) -> list[int]:
         low = (text or "").lower()
         words = set(_WORD.findall(low))
-        found = {i for w in self.words.keys() & words if (i := self.words[w]) is not None}
+        found = {self.words[w] for w in self.words.keys() & words}
+        some = [w for w in words if w[: self.least] in self.first] if self.begin else []
         for n, known in self.begin.items():
-            if known:
-                found.update(known[b] for b in known.keys() & {w[:n] for w in words if len(w) > n})
+            for start, k in Counter(w[:n] for w in some if len(w) > n and w[:n] in known).items():
+                found.update(i for least, i in known[start] if k >= least)
         found.update(i for i, pattern in self.patterns if pattern.search(low))
         return sorted(found)
 
 
 def deal(entries: list[str], voters: int) -> np.ndarray:
-    """The voter of each entry: mined and seed words by a hash of their beginning, so that forms of a word vote as one; patterns together."""
-    return np.array([voters - 1 if x[0] == "~" else zlib.crc32(x.strip("=-")[:4].encode()) % (voters - 1) for x in entries], dtype=int)
+    """The voter of each entry: by its make, and there by a hash of the word's beginning, so that forms of a word vote as one."""
+
+    def voter(x: str) -> int:
+        if x[0] == "~":
+            return voters - 1
+        stem, _, least = x.lstrip("=").partition("-")
+        first, many = (0, voters - 7) if x[0] == "=" else (voters - 7 + 2 * (min(int(least), 3) - 1), 2)
+        return first + zlib.crc32(stem[:4].encode()) % many
+
+    return np.array([voter(x) for x in entries], dtype=int)
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -242,31 +276,29 @@ def _fit(docs: DataFrame, labels: DataFrame, setting: Settings) -> tuple[Model,
     mined = mine(docs, labels, setting)
     entries = list(dict.fromkeys([*mined, *(f"={x}" for x in SEEDS), *(f"~{x}" for x in PATTERNS)]))
     voter_of = deal(entries, setting.voters)
-    beginnings, voters = setting.beginnings, setting.voters
+    voters = setting.voters
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(entries, beginnings)
+        match = Matcher(entries)
         for batch in batches:
             found = [match(x) for x in batch.column(0).to_pylist()]
             bits = [int(sum(1 << int(v) for v in {voter_of[i] for i in x})) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(bits, pa.int64())], names=["doc_id", "found", "bits"])
 
-    from quillon.llm.common import staged
-
     d = docs.select(docs["text"].cast("string").alias("text"), docs["doc_id"].cast("long").alias("doc_id"))
     seen = staged(d.mapInArrow(votes, "doc_id long, found array<int>, bits long"), "votes")  # a few bytes a document
     voted = seen.select("doc_id", "bits").join(_training_labels(labels), "doc_id", "left")
     tally = voted.groupBy("bits").pivot("toxic", [0, 1]).count().join(seen.groupBy("bits").count(), "bits").na.fill(0).collect()  # 2^voters rows at most
     if not tally:
-        return Model(entries, np.full(len(entries), 6.0), -3.0, voter_of, beginnings=beginnings), seen
+        return Model(entries, np.full(len(entries), 6.0), -3.0, voter_of), seen
     bits = np.array([r["bits"] for r in tally])
     patterns = ((bits[:, None] >> np.arange(voters)) & 1).astype(float)
     counts = np.array([[r["count"] - r["0"] - r["1"], r["0"], r["1"]] for r in tally], dtype=float)
     rates, share = fit_label_model(patterns, counts, setting.rounds)
     sample = seen.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "bits").limit(setting.classifier_rows).collect()
     soft = posterior(np.array([[r["bits"] >> v & 1 for v in range(voters)] for r in sample], dtype=float), rates, share)
-    weights, bias = fit_classifier([r["found"] for r in sample], soft, len(entries))
-    return Model(entries, weights, bias, voter_of, rates, share, beginnings), seen
+    weights, bias = fit_classifier([r["found"] for r in sample], soft, len(entries), ridge=setting.ridge)
+    return Model(entries, weights, bias, voter_of, rates, share), seen
 
 
 def score_column(docs: DataFrame, model: Model) -> Column:
@@ -276,7 +308,7 @@ def score_column(docs: DataFrame, model: Model) -> Column:
     @pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = held.value
-        match = Matcher(m.entries, m.beginnings)
+        match = Matcher(m.entries)
         for texts in parts:
             z = [m.bias + float(m.weights[match(x)].sum()) for x in texts]
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -50, 50))), dtype="float64")
@@ -295,7 +327,5 @@ def _shown(d: DataFrame, threshold: float) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = Settings.threshold) -> DataFrame:
     """docs without rows that the model rejects."""
-    from quillon.llm.common import temporary
-
     name = temporary(docs, "score")
     return docs.withColumn(name, score_column(docs, model)).where(F.col(name) < threshold).select(docs.columns)

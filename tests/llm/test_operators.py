@@ -74,6 +74,24 @@ def test_toxicity(spark):
     assert hit >= 0.7 * sum(r.toxic for r in held) and hit >= 0.9 * sum(r.predicted for r in held)
 
 
+def test_toxicity_rates(spark):
+    """Rows that were held out, of a table with some hundred toxic ones to learn from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.fitted_scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    hit = sum(r.predicted and r.toxic for r in held)
+    assert hit >= 0.9 * sum(r.toxic for r in held) and hit >= 0.93 * sum(r.predicted for r in held)
+
+
+def test_toxicity_entries_by_chance(spark):
+    """Words that say nothing of the label are not mined, however many there are."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    rows = [(i, " ".join(word() for _ in range(60)) + (" qqzzqq qqzzxx" if i % 9 == 0 and i % 2 else ""), int(i % 9 == 0)) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    mined = toxicity.mine(d.drop("toxic"), d.drop("text"), toxicity.Settings())
+    assert mined and all(x.lstrip("=").startswith("qqzz") for x in mined)
+
+
 def test_toxicity_without_labels(spark, docs, texts):
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.scores(docs, model).count() == len(texts)
