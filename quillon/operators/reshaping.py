@@ -84,9 +84,14 @@ def rename_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").withColumnsRenamed({"s_suppkey": "supplier", "s_name": "s_title"}).drop("s_acctbal")
 
 
-@registry.query("SELECT CAST(i AS BIGINT) AS k, CAST(i * i AS BIGINT) AS square FROM range(0, 5000, 7) t(i)")
+@registry.query("SELECT CAST(i AS BIGINT) AS k, CAST(i * i AS BIGINT) AS square, count(o_orderkey) AS orders FROM (SELECT unnest(range(0, (SELECT max(o_custkey) + 1 FROM orders), 7)) AS i) LEFT JOIN orders ON o_custkey = i GROUP BY i")
 def range_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 5000, 7).selectExpr("id AS k", "id * id AS square")
+    """Every seventh number up to the largest customer, with or without orders."""
+    orders = table(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_custkey")).first()[0]
+    counts = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
+    numbers = spark.range(0, (-1 if last is None else last) + 1, 7).selectExpr("id AS k", "id * id AS square")
+    return numbers.join(counts, F.col("k") == F.col("o_custkey"), "left").select("k", "square", F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
 @registry.query("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F'")
