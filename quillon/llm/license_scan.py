@@ -32,30 +32,30 @@ from quillon.llm.common import bound, held, text_of
 TEMPLATES = {
     "MIT": [
         "released under the mit license", "licensed under the mit license", "spdx license identifier mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under mit", "dual licensed under mit or",
     ],
-    "Apache-2.0": ["licensed under the apache license version 2 0", "apache license version 2 0 january 2004", "spdx license identifier apache 2 0"],
+    "Apache-2.0": ["licensed under the apache license version 2 0", "apache license version 2 0 january 2004", "spdx license identifier apache 2 0", "released under apache 2 0"],
     "GPL-2.0": [
-        "licensed under the gnu general public license version 2", "spdx license identifier gpl 2 0",
+        "licensed under the gnu general public license version 2", "spdx license identifier gpl 2 0", "gpl 2 0 or later", "released under gpl v 2",
         "you can redistribute it and or modify it under the terms of the gnu general public license either version 2 of the license",
     ],
     "GPL-3.0": [
-        "this work is licensed under the gnu general public license version 3", "spdx license identifier gpl 3 0",
+        "this work is licensed under the gnu general public license version 3", "spdx license identifier gpl 3 0", "gpl 3 0 or later", "released under gpl v 3",
         "you can redistribute it and or modify it under the terms of the gnu general public license either version 3 of the license",
     ],
-    "LGPL": ["licensed under the gnu lesser general public license version 2 1", "spdx license identifier lgpl 2 1"],
-    "AGPL-3.0": ["licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3 0"],
-    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0", "spdx license identifier mpl 2 0"],
+    "LGPL": ["licensed under the gnu lesser general public license version 2 1", "spdx license identifier lgpl 2 1", "lgpl 2 1 or later", "released under lgpl v 3"],
+    "AGPL-3.0": ["licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3 0", "agpl 3 0 or later"],
+    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0", "spdx license identifier mpl 2 0", "released under mpl 2 0"],
     "BSD": [
         "redistribution and use in source and binary forms with or without modification are permitted", "licensed under the bsd 3 clause license",
-        "spdx license identifier bsd 3 clause",
+        "spdx license identifier bsd 3 clause", "distributed under the terms of the bsd 3 clause", "released under bsd 2 clause",
     ],
     "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "licensed under the isc license"],
     "CC-BY": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
     "CC-BY-SA": ["licensed under cc by sa 4 0", "licensed under a creative commons attribution sharealike 4 0 international license"],
     "CC-BY-NC": ["licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
     "CC0": ["this work is dedicated to the public domain under cc0 1 0 universal", "spdx license identifier cc0 1 0"],
-    "EPL-2.0": ["made available under the terms of the eclipse public license 2 0", "licensed under the eclipse public license v 2 0", "spdx license identifier epl 2 0"],
+    "EPL-2.0": ["made available under the terms of the eclipse public license 2 0", "licensed under the eclipse public license v 2 0", "spdx license identifier epl 2 0", "released under epl 2 0"],
     "Unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense", "spdx license identifier unlicense"],
     "proprietary": ["all rights reserved", "copyright all rights reserved no part may be reproduced without permission"],
 }
@@ -67,12 +67,15 @@ UNRELATED = [
     "poetic license lets the author bend the rules", "the general public was not allowed to redistribute the food", "he has a licence to sell drinks",
     "creative people in common rooms work well together", "her rights were reserved by the court until the trial", "version 3 of the report is out now",
     "the software is sold with a license for one year", "the gnu is a large african antelope", "source and binary stars are seen in the sky",
+    "the apache tribe moved to the south in 1880", "bsd is a family of operating systems", "an apache helicopter landed at 3 0 pm", "the server runs apache on port 80", "the apache web server was restarted",
+    "the new bsd kernel boots in 2 seconds",
 ]
 UNKNOWN = "unknown"
 # What any text with a cue contains in lower case; words that are a cue, and pairs of words.
 CUE_PARTS = ("licen", "spdx", "copyright", "rights", "domain", "commons", "cc", "granted", "redistribut", "unencumbered")
-CUE_WORD = r"licen[cs]e|^(?:spdx|ccby|unencumbered)$|copyright|redistribut"
-CUE_PAIRS = ("rights reserved", "public domain", "creative commons", "cc by", "cc 0", "hereby granted")
+CUE_WORD = r"licen[cs]e|^(?:spdx|ccby|unencumbered|[al]?gplv?|mpl|bsd|apache|epl)$|copyright|redistribut"
+CUE_NAMES = r"(?<![a-z])(?:[al]?gplv?|mpl|bsd|apache|epl)(?![a-z])|under mit"
+CUE_PAIRS = ("under mit", "mit or", "or mit", "mit and", "and mit", "rights reserved", "public domain", "creative commons", "cc by", "cc 0", "hereby granted")
 # Words that name a family; with others in their place a wording is that of no family known.
 NAMES = frozenset("mit apache gnu lesser affero general mozilla mpl gpl lgpl agpl bsd isc creative commons cc eclipse epl unlicense by sa nc clause".split())
 
@@ -161,7 +164,7 @@ def scan(docs: DataFrame, least_overlap: float = 0.5) -> DataFrame:
     start = F.expr(doubles(bias))
     names = F.array(*[F.lit(c) for c in classes])
     d = docs.select("doc_id", F.lower(text_of(docs)).alias("low"))
-    may = reduce(or_, (F.col("low").contains(x) for x in CUE_PARTS))
+    may = reduce(or_, (F.col("low").contains(x) for x in CUE_PARTS)) | F.col("low").rlike(CUE_NAMES)
     entry = lambda line, w, *wide: F.struct(line.alias("line"), w.alias("w"), *[x.alias("wide") for x in wide])
     found = lambda x: F.regexp_extract_all(x, F.lit("[a-z]+|[0-9]+"), F.lit(0))
     line_words = lambda x, i: bound(found(x), lambda v: F.when(F.size(v) > 0, F.transform(v, lambda w: entry(i, w))).otherwise(F.array(entry(i, F.lit(BREAK)))))

@@ -254,3 +254,18 @@ def test_pipeline(spark, tmp_path):
 def test_quality_of_odd_lines(spark):
     d = frame(spark, [(None, "x" * 200_000), (1, "home " + "." * 60), (1, None)])
     assert [(r.n_words, r.kept) for r in quality_rules.quality_report(d).collect()] == [(1, False), (2, False), (0, False)]
+
+
+# ---- op4
+
+
+def test_licences_named_without_the_word(spark):
+    """Short statements by the family's name, two families a line, and such names where no licence is stated."""
+    cases = {
+        "Released under GPL v3.": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "Apache-2.0": "Apache-2.0", "Distributed under the terms of the BSD 3-Clause": "BSD", "lgpl-2.1": "LGPL", "MPL 2.0": "MPL-2.0",
+        "AGPL-3.0-only": "AGPL-3.0", "Dual licensed under MIT and Apache-2.0": "Apache-2.0,MIT", "LICENSE: EPL-2.0": "EPL-2.0", "we met the apache people in 1990": "", "Er kam mit und mit ihm kam Apache.": "",
+        "the bsd systems and the mit campus": "", "a gpl question": "", "simple example, replayed": "",
+    }
+    rows = [*enumerate(cases), (None, "GPL-3.0-or-later"), (None, "GPL-3.0-or-later"), (90, None)]
+    got = [(r.doc_id, r.families) for r in license_scan.scan(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([*enumerate(cases.values()), (None, "GPL-3.0"), (None, "GPL-3.0"), (90, "")], key=repr)
