@@ -41,7 +41,7 @@ KINDS = ("email", "ip", "card", "phone")
 KEY_HEADS = ("AKIA", "ASIA", "AROA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-")
 GENERATORS = {
     "key": rf"(?<![A-Za-z0-9])(?:{'|'.join(KEY_HEADS)})[A-Za-z0-9_-]{{12,}}+",
-    "password": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api_?key|auth)[\x20]?[=:][\x20]?[^\s,;]{6,}+",
+    "password": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api_?key|auth)(?:_[A-Za-z_]*+|[A-Z][A-Za-z_]*+|s)?+[\x20]?[=:][\x20]?[^\s,;]{4,}+",
     "hex": r"(?<![A-Za-z0-9])[0-9a-f]{16,}+(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
@@ -160,7 +160,7 @@ def proposals(text: Column) -> Column:
 
 
 FEATURES = (
-    "length", "digits", "letters", "capitals", "marks", "distinct", "value", "equals", "masked", "keyword", "assigned", "quoted", "decoy",
+    "length", "digits", "letters", "capitals", "marks", "distinct", "value", "mixed", "equals", "masked", "keyword", "assigned", "quoted", "decoy",
     *(f"is_{k}" for k in GENERATORS),
 )
 
@@ -174,8 +174,8 @@ def features(x: Column, before: Column) -> dict[str, Column]:
     has = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
     out = {
         "length": n, "digits": share("[^0-9]"), "letters": share("[^A-Za-z]"), "capitals": share("[^A-Z]"), "marks": share("[A-Za-z0-9]"),
-        "distinct": F.size(F.array_distinct(F.split(F.left(s, F.lit(64)), ""))).cast("double"),
-        "value": F.length(value).cast("double"), "equals": has(s.contains("=")), "masked": has(value.rlike(r"^(?:(.)\1*+|[<\[{$%].*|.*\*\*.*)$")),
+        "distinct": F.size(F.array_distinct(F.split(s, ""))).cast("double"),
+        "value": F.length(value).cast("double"), "mixed": has(value.rlike("[0-9]") & value.rlike("[A-Za-z]")), "equals": has(s.contains("=")), "masked": has(value.rlike(r"^(?:(.)\1*+|[<\[{$%].*|.*\*\*.*)$")),
         "keyword": has(near.rlike(r"key|token|secret|passw|pwd|auth|ssn|social|iban|account|phone|tel|call|mobile|aws")),
         "assigned": has(near.rlike(r"[=:]\s?[\"']?$")), "quoted": has(near.rlike(r"[\"']$")),
         "decoy": has(near.rlike(r"version|commit|sha|md5|isbn|invoice|order|revision|checksum|example|part no|serial")),
@@ -283,10 +283,11 @@ def synthetic(n: int = TRAINING_ROWS, seed: int = 3) -> list[dict]:
         elif kind == "password":
             words = lambda k, by: by.join(pick(lower, r.randint(4, 8)) for _ in range(k))
             if real:
-                s = r.choice([pick(lower + upper + digit, r.randint(8, 60)) + r.choice(digit), words(3, ""), words(3, r.choice("-_."))])
+                short = pick(lower, r.randint(3, 7)) + pick(digit, r.randint(1, 3)), pick(lower, r.randint(1, 3)) + r.choice(digit) + pick(lower + upper, r.randint(2, 4))
+                s = r.choice([pick(lower + upper + digit, r.randint(8, 60)) + r.choice(digit), words(3, ""), words(3, r.choice("-_.")), *short])
             else:
-                s = r.choice(["required", "********", "<hidden>", "changeme", "xxxxxxxx", pick(lower, r.randint(6, 9)), pick(lower, r.randint(6, 9)) + "."])
-            s = r.choice(["password", "Password", "token", "api_key", "secret"]) + r.choice(["=", ": ", " = "]) + s
+                s = r.choice(["required", "********", "<hidden>", "changeme", "xxxxxxxx", "none", "true", "null", "1234", pick(digit, r.randint(4, 5)), pick(lower, r.randint(4, 9)), pick(lower, r.randint(4, 9)) + "."])
+            s = r.choice(["password", "Password", "token", "api_key", "secret", "pwd", "SECRET_ACCESS_KEY", "auth_token", "token_count"]) + r.choice(["=", ": ", " = "]) + s
         elif kind == "hex":
             s = pick("0123456789abcdef", r.choice([18, 32, 40, 64])) if real else r.choice([pick("0", 20), pick("01", 18), pick("abcdef", 17), pick(digit, 17), pick("0123456789abcdef", 40)])
             if real:
