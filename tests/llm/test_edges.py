@@ -308,3 +308,23 @@ def test_added_spans_on_rows_of_another_seed(spark):
     for kind, (hit, shown, real) in told.items():
         print(kind, hit, shown, real)
         assert hit >= 0.9 * shown and hit >= (0.5 if kind in ("ssn", "local") else 0.8) * real, (kind, hit, shown, real)
+
+
+# ---- pipeline
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_pipeline_of_edge_rows_and_of_nothing(spark, some):
+    same = "same words here again and again for all of us"
+    rows = [(None, None, None, None, 1), (None, "", None, "s", 1), (5, None, "en", "s", 2), (5, None, "en", "s", 2), (6, "mail a@b.cc now " * 3, "en", None, 3), (7, same, None, "s", 4), (7, same, None, "s", 4), (8, same, None, "t", 4)]
+    docs = frame(spark, rows if some else [], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.staged(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+        kept.append(docs.collect())
+        assert name == "packing" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert [len(x) for x in kept[:3]] == ([8, 7, 7] if some else [0, 0, 0])
+    assert sorted(r.doc_id or -1 for r in kept[1]) == ([-1, -1, 5, 5, 6, 7, 7] if some else [])
+    texts = {r.doc_id: r.text for r in kept[2]}
+    assert not some or texts[6] == "mail [EMAIL] now " * 3
+    assert {(r.doc_id, r.text) for r in kept[3]} <= set(texts.items()) and bool(kept[4]) == bool(kept[3])
