@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import conversation_trie, near_dedup, periodic_runs, queries, simhash_dedup
+from quillon.llm import conversation_trie, near_dedup, periodic_runs, simhash_dedup
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -218,16 +218,3 @@ def test_store_of_members_is_compacted():
     assert [r for r in periodic_runs.runs_of([b], periodic_runs.Runs(least=2, powers=3))[0][:200] if r[1] < 3 * r[2]] == []
     small = b[:300]
     assert periodic_runs.runs_of([small], periodic_runs.Runs())[0] == sorted(brute_runs(small), key=lambda r: (r[0], r[2]))
-
-
-@pytest.mark.parametrize("name", ["op12_conversation_trie", "op13_periodic_runs"])
-def test_sql_of_the_new_queries(spark, name):
-    import duckdb
-
-    con = duckdb.connect()
-    for t in ("documents", "conversations"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want, got = con.sql(queries.oracle_sql()[name]), queries.queries()[name](spark, SF)
-    names = sorted(want.columns)
-    assert sorted(got.columns) == names
-    assert sorted(map(tuple, got.select(names).collect()), key=repr) == sorted(want.select(*names).fetchall(), key=repr)

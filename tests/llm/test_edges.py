@@ -25,7 +25,8 @@ def test_sql_of_the_queries(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         want = con.sql(sql)
         names = sorted(want.columns)
