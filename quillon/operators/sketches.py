@@ -88,7 +88,7 @@ def estimated(cells: DataFrame, asked: DataFrame, item: str, width: int = 1 << 1
 
 @registry.query(
     """SELECT event_type, count(*) AS n, true AS hll_close, true AS theta_close, true AS median_close, true AS high_close,
-              (SELECT list(n ORDER BY n DESC) FROM (SELECT count(*) AS n FROM events x WHERE x.event_type = events.event_type GROUP BY user_id ORDER BY n DESC LIMIT 3)) AS top_counts
+              (SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC) FROM (SELECT count(*) AS n FROM events x WHERE x.event_type = events.event_type GROUP BY user_id ORDER BY n DESC LIMIT 3)) AS top_counts
        FROM events GROUP BY event_type"""
 )
 def sketches_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def sketches_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merged(spark.read.parquet(path), ["event_type"])
     exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
     quantile = lambda q: F.kll_sketch_get_quantile_double("number_kll", F.lit(q))
-    told = found.select("event_type", "n", distinct("items_hll").alias("hll"), F.theta_sketch_estimate("items_theta").alias("theta"), quantile(0.5).alias("median"), quantile(0.9).alias("high"), F.transform(top("items_top", 3), lambda x: x["count"]).alias("top_counts"))
+    told = found.select("event_type", "n", distinct("items_hll").alias("hll"), F.theta_sketch_estimate("items_theta").alias("theta"), quantile(0.5).alias("median"), quantile(0.9).alias("high"), F.array_join(F.transform(top("items_top", 3), lambda x: x["count"].cast("string")), ",").alias("top_counts"))
     # the share of values up to an estimated quantile is the quantile's, to the sketch's rank error
     share = lambda c: F.avg((F.col("value") <= F.col(c)).cast("double"))
     ranks = events.join(F.broadcast(told.select("event_type", "median", "high")), "event_type").groupBy("event_type").agg(share("median").alias("at_median"), share("high").alias("at_high"))
