@@ -64,7 +64,7 @@ def test_simhash_groups(spark):
     assert {r.doc_id: r.component_id for r in got} == near(want)
 
 
-@pytest.mark.parametrize("bucket", [2, 20, 256])
+@pytest.mark.parametrize("bucket", [3, 256])
 def test_simhash_links_in_hot_buckets(spark, bucket):
     """Fingerprints about a few centres, so that buckets are cut again, and pairs at each distance across the segments' edges."""
     rng = random.Random(3)
