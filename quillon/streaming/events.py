@@ -101,3 +101,8 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 def to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Run a stream over what is there into Parquet files, exactly once."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def to_console(stream: DataFrame, rows: int = 20, mode: str = "append") -> None:
+    """Run a stream over what is there and print each batch's first rows, to look at."""
+    stream.writeStream.format("console").option("numRows", rows).option("truncate", "false").outputMode(mode).trigger(availableNow=True).start().awaitTermination()

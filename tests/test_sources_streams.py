@@ -4,6 +4,7 @@ import collections
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from quillon.sources import files
 from quillon.streaming import events as ev
@@ -111,6 +112,14 @@ def test_files_and_batches(spark, folder, tmp_path):
         assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == want
 
 
+def test_console(spark, folder):
+    """Prints by the driver's JVM, beside what pytest captures: it ends, and refuses a mode that the query has not."""
+    counts = ev.tumbling(spark.readStream.schema(ev.SCHEMA).parquet(folder))
+    ev.to_console(counts, 5, "complete")
+    with pytest.raises(AnalysisException):
+        ev.to_console(counts)  # no watermark
+
+
 def test_counts_stream(spark, folder):
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ev.ROCKSDB)
