@@ -240,13 +240,13 @@ def _verified(pairs: DataFrame, signed: DataFrame, content: DataFrame, setting:
     return spread(spread(alive, c("a"), "a", "b"), c("b"), "b", "a").where(_linked(F.col("ca"), F.col("cb"), setting)).select("a", "b")
 
 
-def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that lie in different components (id, component); without a label a class is its own."""
-    of = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
-    # a hub stands in many pairs: pairs are counted by it once, and hot ones dealt out; hubs without a label come along
-    hubs = pairs.select("a").distinct().join(of("a"), "a", "left").select("a", F.coalesce("ca", "a").alias("ca"))
-    both = spread(pairs, hubs, "a", "b").join(of("b"), "b", "left")
-    return both.where(F.col("ca") != F.coalesce("cb", "b")).select("a", "b")
+def _apart(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """(a, b): hubs and classes of different components (id, component) of buckets (bucket, id, hub); most buckets hold one component and give none."""
+    placed = staged(buckets.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "placed")
+    # a bucket's hub is its smallest class
+    found = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct("id", "c")).alias("hub")).where("low <> high")
+    both = spread(placed, found.select("bucket", "hub"), "bucket", "id").where(F.col("c") != F.col("hub")["c"])
+    return both.select(F.col("hub")["id"].alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _held_by(ids: DataFrame, content: DataFrame) -> DataFrame:
@@ -342,7 +342,7 @@ def groups(docs: DataFrame, setting: NearDup = NearDup()) -> DataFrame:
     # each class with its smallest hub first: of a group's other pairs only those are left that its links don't connect
     first = staged(tested.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     label = staged(components(staged(_verified(first, signed, content, setting), "links")), "labels")
-    apart = staged(_apart(tested, label).join(first, ["a", "b"], "left_anti"), "pairs")
+    apart = staged(_apart(buckets, label).join(first, ["a", "b"], "left_anti"), "pairs")
     links = staged(_verified(apart, signed, content, setting), "links")
     if not links.isEmpty():
         label = staged(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(links)), "labels")
