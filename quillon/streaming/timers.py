@@ -19,10 +19,11 @@ registry = Registry()
 
 
 class Sessions(StatefulProcessor):
-    """A user's open sessions in a list state, each closed by a timer at its last event's time plus the gap.
+    """A user's open sessions in a list state, and one timer at the first end among them.
 
     Events may come in any order within the watermark: one that lies within the gap of two sessions, or just at its
-    end, joins them, as `session_window` does.
+    end, joins them, as `session_window` does. A timer closes every session whose end is past, so a user costs one
+    timer a batch, however many sessions. Events without a time are a session, one a batch.
     """
 
     def __init__(self, gap_ms: int) -> None:
@@ -33,41 +34,53 @@ class Sessions(StatefulProcessor):
         self.open = handle.getListState("open", "start long, last long, n long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = list(self.open.get())
+        known = [tuple(s) for s in self.open.get()]
+        timer, timeless = self._first_end(known), 0
         for part in rows:
-            known += [(t, t, 1) for t in part.ts.astype("datetime64[us]").astype("int64").tolist()]
+            times = part.ts.dropna()
+            timeless += len(part) - len(times)
+            known += [(t, t, 1) for t in times.astype("datetime64[us]").astype("int64").tolist()]
         joined: list[tuple[int, int, int]] = []
-        for start, last, n in sorted(map(tuple, known)):
+        for start, last, n in sorted(known):
             if joined and start <= joined[-1][1] + self.gap:
                 joined[-1] = (joined[-1][0], max(joined[-1][1], last), joined[-1][2] + n)
             else:
                 joined.append((start, last, n))
-        self._keep(joined)
-        return iter(())  # sessions leave by their timers
+        self._keep(joined, timer)
+        if timeless:  # the others leave by their timer
+            yield self._rows(key, [None], [timeless])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs()
         known = [tuple(s) for s in self.open.get()]
         done = [s for s in known if self._closes(s) <= now]
-        self._keep([s for s in known if self._closes(s) > now])
+        self._keep([s for s in known if self._closes(s) > now], expiredTimerInfo.getExpiryTimeInMs())
         if done:
-            yield pd.DataFrame({"user_id": [key[0]] * len(done), "start": pd.to_datetime([s[0] for s in done], unit="us"), "n": [s[2] for s in done]})
+            yield self._rows(key, [s[0] for s in done], [s[2] for s in done])
+
+    @staticmethod
+    def _rows(key: tuple, starts: list, counts: list[int]) -> pd.DataFrame:
+        users = pd.Series([None if key[1] else key[0]] * len(starts), dtype="Int64")
+        return pd.DataFrame({"user_id": users, "start": pd.to_datetime(pd.Series(starts, dtype="Int64"), unit="us"), "n": counts})
 
     def _closes(self, session: tuple[int, int, int]) -> int:
         """The first millisecond at which no event can join it."""
         return (session[1] + self.gap) // 1000 + 1
 
-    def _keep(self, sessions: list[tuple[int, int, int]]) -> None:
-        """The open sessions, and a timer for each end among them and no other."""
+    def _first_end(self, sessions: list[tuple[int, int, int]]) -> int | None:
+        return min(map(self._closes, sessions), default=None)
+
+    def _keep(self, sessions: list[tuple[int, int, int]], timer: int | None) -> None:
+        """The open sessions, and a timer for their first end instead of the one that was set."""
         if sessions:
             self.open.put(sessions)
         else:
             self.open.clear()
-        ends = {self._closes(s) for s in sessions}
-        for old in set(self.handle.listTimers()) - ends:
-            self.handle.deleteTimer(old)
-        for new in ends:
-            self.handle.registerTimer(new)
+        end = self._first_end(sessions)
+        if timer is not None and timer != end:
+            self.handle.deleteTimer(timer)
+        if end is not None and timer != end:
+            self.handle.registerTimer(end)
 
     def close(self) -> None:
         pass
@@ -75,7 +88,9 @@ class Sessions(StatefulProcessor):
 
 def sessions(events: DataFrame, gap_ms: int = 30 * 60 * 1000) -> DataFrame:
     """user_id, start and n of each session once the watermark is past its end. Needs the RocksDB state store."""
-    return events.groupBy("user_id").transformWithStateInPandas(Sessions(gap_ms), "user_id long, start timestamp, n long", "Append", "EventTime")
+    # a null user is a user too, but a null among the keys of a batch would make pandas' floats of them all
+    named = events.select("ts", F.coalesce("user_id", F.lit(0)).cast("long").alias("user"), F.col("user_id").isNull().alias("nameless"))
+    return named.groupBy("user", "nameless").transformWithStateInPandas(Sessions(gap_ms), "user_id long, start timestamp, n long", "Append", "EventTime")
 
 
 # ---- streams as queries: over files of the events table, until all of it has been read

@@ -4,7 +4,9 @@ import os
 import random
 import sqlite3
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -116,6 +118,21 @@ def test_sessions_of_late_and_joining_events(spark, tmp_path, rocksdb):
     assert rows(got) == rows(want) and (9, noon, 3) in rows(got)
 
 
+def test_sessions_cost_one_timer_a_user():
+    """However many sessions are open, one timer is set, and one call closes all that are past."""
+    timers_set, told = set(), []
+    state = SimpleNamespace(rows=[], get=lambda: iter(state.rows), put=lambda x: setattr(state, "rows", x), clear=lambda: setattr(state, "rows", []))
+    handle = SimpleNamespace(getListState=lambda *_: state, registerTimer=lambda t: (timers_set.add(t), told.append(t)), deleteTimer=timers_set.discard, listTimers=lambda: iter(sorted(timers_set)))
+    made = timers.Sessions(1000)
+    made.init(handle)
+    hour = [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i) for i in range(60)]
+    now = lambda t: SimpleNamespace(getCurrentWatermarkInMs=lambda: int(t.timestamp() * 1000), getExpiryTimeInMs=lambda: min(timers_set))
+    assert list(made.handleInputRows((1, False), iter([pd.DataFrame({"ts": hour})]), now(hour[0]))) == []
+    assert len(timers_set) == len(told) == 1
+    (out,) = made.handleExpiredTimer((1, False), now(hour[40]), now(hour[40]))
+    assert out.n.tolist() == [1] * 40 and out.start.tolist() == hour[:40] and len(state.rows) == 20 and len(timers_set) == 1
+
+
 @pytest.mark.parametrize("name", ["stream_sessions_by_timers", "stream_tumbling_counts"])
 def test_streams_as_queries_leave_the_session_as_it_was(spark, name):
     key = "spark.sql.streaming.stateStore.providerClass"
