@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -96,14 +96,27 @@ def sessions(events: DataFrame, gap_ms: int = 30 * 60 * 1000) -> DataFrame:
 # ---- streams as queries: over files of the events table, until all of it has been read
 
 
-def _published(spark: SparkSession, sf_dir: str, files: int = 3) -> str:
-    """A new folder with the events as files, and a last one two days on that moves the watermark past them all."""
+def _streamed(spark: SparkSession, sf_dir: str, result: Callable[[DataFrame], DataFrame], schema: str, spans: int = 3) -> DataFrame:
+    """The rows of a stream over the events, which arrive by span of time: one is written and streamed, then the next.
+
+    Files that are there together may be read in any order, as tasks end in any order, and the watermark would drop
+    the earlier span's events; so the stream goes on from its checkpoint for each span, which is one batch. A last event
+    two days on moves the watermark past them all.
+    """
     path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
-    events = table(spark, sf_dir, "events")
-    ev.publish(events, f"{path}/events", files)
-    last = events.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").selectExpr("-1L AS event_id", "CAST(ts + INTERVAL '2' DAY AS TIMESTAMP) AS ts", "-1L AS user_id", "'end' AS event_type", "0D AS value", "'{}' AS props")
-    last.write.mode("append").parquet(f"{path}/events")
-    return path
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    micros = F.unix_micros("ts")
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    # rows without a time come with the first span
+    span = F.coalesce(F.floor((micros - low) * F.lit(spans) / F.lit(high - low + 1)), F.lit(0)) if low is not None else F.lit(0)
+    for i in range(spans):
+        events.where(span == i).write.mode("append").parquet(f"{path}/events")
+        if i == spans - 1 and low is not None:
+            last = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.timestamp_micros(F.lit(high + 2 * 86_400_000_000)).alias("ts"))
+            last = last.selectExpr("event_id", "ts", "-1L AS user_id", "'end' AS event_type", "0D AS value", "'{}' AS props")
+            last.write.mode("append").parquet(f"{path}/events")
+        ev.to_files(result(ev.source(spark, f"{path}/events", 1_000_000)), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema(schema).parquet(f"{path}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @registry.query(
@@ -111,18 +124,15 @@ def _published(spark: SparkSession, sf_dir: str, files: int = 3) -> str:
        FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"""
 )
 def stream_sessions_by_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, path = "spark.sql.streaming.stateStore.providerClass", _published(spark, sf_dir)
+    key = "spark.sql.streaming.stateStore.providerClass"
     old = spark.conf.get(key, None)
     spark.conf.set(key, ev.ROCKSDB)
     try:
-        ev.to_files(sessions(ev.source(spark, f"{path}/events")), f"{path}/out", f"{path}/checkpoint")
+        return _streamed(spark, sf_dir, sessions, "user_id long, start timestamp, n long")
     finally:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
-    return spark.read.parquet(f"{path}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @registry.query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _published(spark, sf_dir)
-    ev.to_files(ev.tumbling(ev.source(spark, f"{path}/events", 2)), f"{path}/out", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _streamed(spark, sf_dir, ev.tumbling, "start timestamp, event_type string, n long")

@@ -6,6 +6,7 @@ import sqlite3
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
@@ -118,6 +119,26 @@ def test_sessions_of_late_and_joining_events(spark, tmp_path, rocksdb):
     assert rows(got) == rows(want) and (9, noon, 3) in rows(got)
 
 
+def test_streams_read_spans_in_order(spark, tmp_path):
+    """The first span's file is the last to be finished if all are written at once; some rows have no time or no user."""
+    events = spark.range(3000).selectExpr("id AS event_id", "timestampadd(SECOND, CAST(id * 60 + pmod(hash(id), 3000) AS INT), timestamp_ntz '2024-01-01 00:00:00') AS ts", "id % 20 AS user_id", "'click' AS event_type", "1D AS value", "if(id < 1000, repeat(sha2(CAST(id AS STRING), 256), 500), '{}') AS props")
+    odd = events.where("event_id < 40").selectExpr("event_id + 5000 AS event_id", "if(event_id < 3, NULL, ts) AS ts", "if(event_id < 20, NULL, user_id) AS user_id", "event_type", "value", "props")
+    events.unionByName(odd).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = catalog.queries()["stream_sessions_by_timers"](spark, str(tmp_path))
+    want = duck.sql(catalog.oracle_sql()["stream_sessions_by_timers"])
+    assert rows(got.select(*want.columns)) == sorted(want.fetchall(), key=repr)
+    got = catalog.queries()["stream_tumbling_counts"](spark, str(tmp_path))
+    assert got.groupBy().sum("n").first()[0] == 3040 - 3  # those without a time have no hour
+
+
+def test_streams_of_no_events(spark, tmp_path):
+    spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_sessions_by_timers", "stream_tumbling_counts"):
+        assert catalog.queries()[name](spark, str(tmp_path)).collect() == []
+
+
 def test_sessions_cost_one_timer_a_user():
     """However many sessions are open, one timer is set, and one call closes all that are past."""
     timers_set, told = set(), []
