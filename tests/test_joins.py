@@ -3,6 +3,7 @@
 from datetime import datetime
 
 from quillon.operators import joins
+from quillon.plans import catalog
 
 
 def test_as_of_with_nulls_and_spans(spark):
@@ -34,3 +35,13 @@ def test_salted_join_lets_columns_have_any_name(spark):
     large = spark.createDataFrame([(1, i, i) for i in range(50)], "k long, v long, __salt long")
     small = spark.createDataFrame([(1, "a"), (2, "b")], "k long, w string")
     assert sorted(tuple(r) for r in joins.salted_join(large, small, "k").collect()) == [(1, i, i, "a") for i in range(50)]
+
+
+def test_broadcast_behind_a_size_joins_all_orders(spark):
+    """The rows are those of the same join by another hint, whether orders are broadcast or not."""
+    sf = "/root/testdata/sf0.01"
+    want = sorted(map(tuple, catalog.queries()["join_hint_merge"](spark, sf).collect()))
+    assert sorted(map(tuple, catalog.queries()["join_hint_broadcast"](spark, sf).collect())) == want
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
+    hinted = lambda most: "ResolvedHint" in joins.small(orders, most)._jdf.queryExecution().analyzed().toString()
+    assert hinted(15_000) and not hinted(14_999)
