@@ -234,10 +234,11 @@ def components(links: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, signed: DataFrame, content: DataFrame, setting: NearDup) -> DataFrame:
     """Those of pairs (a, b) that are links: signatures first, then survivors by their sets in content."""
     s = lambda side: signed.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}"))
-    both = spread(spread(pairs, s("a"), "a", "b"), s("b"), "b", "a")
+    of = lambda d: d.groupBy("b").agg(F.count(F.lit(1)).alias("rows"))  # noqa: E731  counted before the first join, which would run twice for it
+    both = spread(spread(pairs, s("a"), "a", "b"), s("b"), "b", "a", sizes=of(pairs))
     alive = staged(both.where(_survive(F.col("sa"), F.col("sb"), setting)).select("a", "b"), "alive")
     c = lambda side: content.select(F.col("id").alias(side), F.col("set").alias(f"c{side}"))
-    return spread(spread(alive, c("a"), "a", "b"), c("b"), "b", "a").where(_linked(F.col("ca"), F.col("cb"), setting)).select("a", "b")
+    return spread(spread(alive, c("a"), "a", "b"), c("b"), "b", "a", sizes=of(alive)).where(_linked(F.col("ca"), F.col("cb"), setting)).select("a", "b")
 
 
 def _apart(buckets: DataFrame, label: DataFrame) -> DataFrame:
@@ -295,12 +296,15 @@ def _open_pairs(buckets: DataFrame, label: DataFrame, classes: DataFrame, conten
     first = staged(_rarest(ids, content, setting), "rarest")
     # of two classes the smaller is looked up by fewer shingles: its overlap must be larger against its size
     side = lambda s, least: first.where(F.col("rank") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select(
-        "h", *[F.col(x).alias(f"{x}_{s}") for x in ("id", "c", "n", "shared")]
+        "h", *[F.col(x).alias(f"{x}_{s}") for x in ("id", "c", "n", "shared", "rank")]
     )
     share = setting.percent / 100
     small, large = side("a", 2 * share / (1 + share) - 1e-9), side("b", share - 1e-9)
     n, m = F.col("n_a"), F.col("n_b")
     fits = (100 * n >= percent * m) & ((100 + percent) * F.least("shared_a", "shared_b") >= percent * (n + m))
+    # of the first shingle that two sets share in the common order, no more can be shared than what comes after it in either
+    left = F.least(n - F.col("rank_a"), m - F.col("rank_b")) + 1
+    fits = fits & ((100 + percent) * left >= percent * (n + m))
     ordered = F.struct("n_a", "id_a") < F.struct("n_b", "id_b")
     pairs = spread(large, small, "h", "id_b", ordered & (F.col("c_a") != F.col("c_b")) & fits)
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()

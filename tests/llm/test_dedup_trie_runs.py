@@ -218,3 +218,22 @@ def test_store_of_members_is_compacted():
     assert [r for r in periodic_runs.runs_of([b], periodic_runs.Runs(least=2, powers=3))[0][:200] if r[1] < 3 * r[2]] == []
     small = b[:300]
     assert periodic_runs.runs_of([small], periodic_runs.Runs())[0] == sorted(brute_runs(small), key=lambda r: (r[0], r[2]))
+
+
+def test_pairs_that_share_too_little_after_their_first_shingle_are_not_made(spark):
+    """Classes that lose partners keep few shingles in common: those of a hot one are compared only where enough can follow it."""
+    few, many, plain, gone = range(10), range(10, 210), range(210, 430), {}
+    base, hot = list(range(87)), list(range(1000, 1005))
+    sets = {i: base + hot + [2000 + 20 * i + k for k in range(8)] for i in few}
+    sets |= {i: base[:80] + hot + [2000 + 20 * i + k for k in range(15)] for i in many}
+    sets |= {i: base + [2000 + 20 * i + k for k in range(13)] for i in plain}  # so that the hot shingles are the rarer ones
+    for i in list(sets):  # each own part is also held by a class that can't be linked
+        part = [h for h in sets[i] if h >= 2000]
+        gone[1000 + i] = part + base[: 65 - len(part)] + [100_000 + 40 * i + k for k in range(35)]
+    sets |= gone
+    content = spark.createDataFrame([(i, np.sort(np.array(s, dtype="<u8")).tobytes()) for i, s in sets.items()], "id long, set binary")
+    classes = spark.createDataFrame([(i, len(s)) for i, s in sets.items()], "id long, n long")
+    buckets = spark.createDataFrame([(1, i, 0) for i in sets], "bucket long, id long, hub long")
+    label = spark.createDataFrame([], "id long, component long")
+    pairs = near_dedup._open_pairs(buckets, label, classes, content, near_dedup.NearDup(percent=80, rounds=1))
+    assert sorted(map(tuple, pairs.collect())) == [(a, b) for a in few for b in few if a < b]
